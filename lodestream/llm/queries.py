@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, neardup, packing, sharding
+from . import bpe, exact_dedup, neardup, packing, sharding, suffixes
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op6_rendezvous_shards(spark, sf_dir):
     return sharding.shard_records(read_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    return suffixes.repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=85)
 
@@ -26,7 +30,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe_round_trip, op6_rendezvous_shards, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe_round_trip, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
