@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, neardup, packing, sharding, suffixes
+from . import bpe, exact_dedup, neardup, packing, quality, sharding, suffixes
 from .common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_weak_label_quality(spark, sf_dir):
+    return quality.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_bpe_round_trip, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_weak_label_quality, op3_bpe_round_trip, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
