@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, neardup, packing, quality, sharding, suffixes
+from . import bpe, exact_dedup, licenses, lzprint, neardup, packing, quality, sharding, suffixes
 from .common import read_table
 
 
@@ -18,6 +18,14 @@ def op3_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_notices(spark, sf_dir):
+    return licenses.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op5_lz_fingerprint(spark, sf_dir):
+    return lzprint.edit_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op6_rendezvous_shards(spark, sf_dir):
     return sharding.shard_records(read_table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_weak_label_quality, op3_bpe_round_trip, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_weak_label_quality, op3_bpe_round_trip, op4_license_notices, op5_lz_fingerprint, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
