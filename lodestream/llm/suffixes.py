@@ -24,8 +24,10 @@ drops the character's remains.
 
 from __future__ import annotations
 
+import struct
 import uuid
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ LENGTH = 200
 GRAM = 80
 #: Documents in a chunk, as a power of two; window starts hashed at a time; bytes suffix-sorted at a time.
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
+#: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
+KEPT_BYTES = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,21 +96,35 @@ class Windows:
         valid = np.ones(len(minima), bool)
         for stop in starts[1:-1]:
             valid[max(0, stop - length + 1) : stop] = False
-        self.valid, self.minima = valid, minima
-        self.grams, self.width = grams, width
+        minima = np.where(valid, minima, np.uint64(0))  # a window that crosses documents has no anchor
+        self.change = np.flatnonzero(np.concatenate([[True], minima[1:] != minima[:-1]]))
+        self.minima, self.grams, self.width = minima, grams, width
 
     def anchors(self) -> np.ndarray:
         """Hash of each place whose k-gram is the least of some window."""
-        shown = np.where(self.valid, self.minima, np.uint64(0))
-        padded = np.concatenate([np.zeros(self.width - 1, np.uint64), shown, np.zeros(self.width - 1, np.uint64)])
+        padded = np.concatenate([np.zeros(self.width - 1, np.uint64), self.minima, np.zeros(self.width - 1, np.uint64)])
         most = _slide(padded, self.width, np.maximum)
-        return self.grams[most == self.grams]
+        return self.grams[(most == self.grams) & (most > 0)]
+
+    def anchor_set(self) -> np.ndarray:
+        """The same hashes, each at least once."""
+        values = self.minima[self.change]
+        return values[values > 0]
 
     def candidates(self, repeated: np.ndarray, parts: int) -> np.ndarray:
-        """Starts of valid windows whose anchor is repeated."""
-        change = np.flatnonzero(np.concatenate([[True], self.minima[1:] != self.minima[:-1]]))
-        hit = _among(short_keys(self.minima[change], parts), repeated)
-        return np.flatnonzero(np.repeat(hit, np.diff(np.append(change, len(self.minima)))) & self.valid)
+        """Starts of windows whose anchor is repeated."""
+        values = self.minima[self.change]
+        hit = _among(short_keys(values, parts), repeated) & (values > 0)
+        first = self.change[hit]
+        sizes = np.diff(np.append(self.change, len(self.minima)))[hit]
+        if not len(first):
+            return first
+        return np.arange(sizes.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+
+    def settle(self) -> "Windows":
+        """Forget what only the count of anchors needs."""
+        self.grams = None
+        return self
 
     def hashes(self, at: np.ndarray) -> np.ndarray:
         return _mixed((self._sums[at + self.length] - self._sums[at]) * self._inverse[at])
@@ -208,19 +226,22 @@ def _anchor_pass(length: int, gram: int, parts: int):
 
 
 def _all_windows(texts: list[bytes], anchors: dict[int, bytes], length: int, gram: int, parts: int):
-    made = [short_keys(w.anchors(), parts) for w in windows_of(texts, length, gram)]
+    """Windows objects, candidate starts and their short keys. Windows are kept between the two steps where that is cheap."""
+    kept = [w.settle() for w in windows_of(texts, length, gram)] if sum(map(len, texts)) <= KEPT_BYTES else None
+    again = lambda: kept if kept is not None else windows_of(texts, length, gram)
+    made = [np.unique(short_keys(w.anchor_set(), parts)) for w in again()]
     repeated = _apply_flags(np.unique(np.concatenate(made)), anchors, parts) if made else np.empty(0, np.uint64)
-    for w in windows_of(texts, length, gram) if len(repeated) else ():
+    for w in again() if len(repeated) else ():
         at = w.candidates(repeated, parts)
         if len(at):
-            yield w, at
+            yield w, at, short_keys(w.hashes(at), parts)
 
 
 def _window_pass(length: int, gram: int, parts: int):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows or not flags.num_rows:
             return _BLOB.empty_table()
-        found = [short_keys(w.hashes(at), parts) for w, at in _all_windows(_texts(docs), _flag_maps(flags)[0], length, gram, parts)]
+        found = [keys for _, _, keys in _all_windows(_texts(docs), _flag_maps(flags)[0], length, gram, parts)]
         if not found:
             return _BLOB.empty_table()
         keys, twice = _at_most_twice(np.concatenate(found))
@@ -238,24 +259,27 @@ def _context_pass(length: int, gram: int, parts: int):
             return _CONTEXT.empty_table()
         anchors, windows = _flag_maps(flags)
         texts, uids = _texts(docs), np.array(docs.column("__uid").to_pylist(), np.int64)
-        keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(short_keys(w.hashes(at), parts) for w, at in _all_windows(texts, anchors, length, gram, parts))]))
+        every = _all_windows(texts, anchors, length, gram, parts)
+        kept = list(every) if sum(map(len, texts)) <= KEPT_BYTES else None
+        again = lambda: kept if kept is not None else _all_windows(texts, anchors, length, gram, parts)
+        keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, _, k in again())]))
         repeated = _apply_flags(keys, windows, parts)
-        folded: dict[tuple[int, bytes], list[np.ndarray]] = {}
-        for w, at in _all_windows(texts, anchors, length, gram, parts) if len(repeated) else ():
-            at = at[_among(short_keys(w.hashes(at), parts), repeated)]
+        folded: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        for w, at, keys in again() if len(repeated) else ():
+            at = at[_among(keys, repeated)]
             if not len(at):
                 continue
             least = w.minima[at]
             cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])]))
             first, last = at[cut], at[np.append(cut[1:], len(at)) - 1]
             rows, offsets = w.place(first)
-            refs = np.stack([uids[rows], offsets], 1)
-            for i, (a, b, m) in enumerate(zip(first.tolist(), last.tolist(), least[cut].view(np.int64).tolist(), strict=True)):
-                folded.setdefault((m, w.text[a : b + length]), []).append(refs[i])
+            refs = zip(uids[rows].tolist(), offsets.tolist(), strict=True)
+            for a, b, m, ref in zip(first.tolist(), (last + length).tolist(), least[cut].view(np.int64).tolist(), refs, strict=True):
+                folded.setdefault((m, w.text[a:b]), []).append(ref)
         chunk = docs.column("__chunk")[0].as_py()
         return pa.table([
             pa.array([m for m, _ in folded], pa.int64()), pa.array([c for _, c in folded], pa.binary()), pa.array([chunk] * len(folded), pa.int64()),
-            pa.array([np.stack(r).tobytes() for r in folded.values()], pa.binary()),
+            pa.array([struct.pack(f"<{2 * len(r)}q", *chain.from_iterable(r)) for r in folded.values()], pa.binary()),
         ], schema=_CONTEXT)
 
     return run
