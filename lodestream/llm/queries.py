@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, lzprint, neardup, packing, quality, sharding, suffixes
+from . import bpe, exact_dedup, licenses, lzprint, neardup, packing, quality, sharding, suffixes, warc
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffixes.repeat_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_fixity(spark, sf_dir):
+    return warc.fixity_report(read_table(spark, sf_dir, "pages"))
+
+
 def op9_minhash_near_dedup(spark, sf_dir):
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), threshold=85)
 
@@ -42,7 +46,7 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_weak_label_quality, op3_bpe_round_trip, op4_license_notices, op5_lz_fingerprint, op6_rendezvous_shards, op7_suffix_dedup, op9_minhash_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_weak_label_quality, op3_bpe_round_trip, op4_license_notices, op5_lz_fingerprint, op6_rendezvous_shards, op7_suffix_dedup, op8_warc_fixity, op9_minhash_near_dedup, op10_best_fit_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -52,4 +56,16 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op8_warc_fixity": """
+        WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, md5(concat(coalesce(page_id::VARCHAR, ''), ' ', coalesce(url, ''))) AS m FROM pages),
+        h AS (SELECT page_id, url, m, concat('HTTP/1.1 200 OK', chr(13), chr(10), 'Content-Type: text/html; charset=utf-8', chr(13), chr(10), 'Content-Length: ', strlen(html)::VARCHAR, chr(13), chr(10), chr(13), chr(10), html) AS http FROM p),
+        r AS (SELECT page_id, url, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: response', chr(13), chr(10), 'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Record-ID: <urn:uuid:',
+                concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)), '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+                'Content-Type: application/http; msgtype=response', chr(13), chr(10), 'Content-Length: ', strlen(http)::VARCHAR, chr(13), chr(10), chr(13), chr(10), http, chr(13), chr(10), chr(13), chr(10)) AS record FROM h),
+        d AS (SELECT page_id, url, strlen(record) AS n, sha256(record) AS hash, sha256(CASE
+                WHEN page_id % 97 = 13 THEN concat(substr(record, 1, (length(record) // 2 - 1)), chr(1), substr(record, length(record) // 2 + 1))
+                WHEN page_id % 211 = 5 THEN substr(record, 1, length(record) - 7) ELSE record END) AS copy FROM r),
+        o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, hash) - 1 AS no FROM d)
+        SELECT page_id, (no // 256)::BIGINT AS file, (sum(n) OVER f - n)::BIGINT AS start, (sum(n) OVER f)::BIGINT AS stop, hash AS record_sha256, copy AS replica_sha256, hash <> copy AS damaged
+        FROM o WINDOW f AS (PARTITION BY no // 256 ORDER BY no)""",
 }

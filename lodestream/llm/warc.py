@@ -1,16 +1,19 @@
 """Operator 8: WARC archives with a Merkle fixity audit.
 
-Pages become WARC/1.1 response records; records stand one after the other in archive files of FILE_RECORDS page numbers.
-A tree holds the hash of every record, of every range of FAN neighbouring records in offset order, of every file, and of
-ranges of files up to one root. Two replicas are compared from the root; only children of nodes that differ are read on,
-so an audit of equal replicas reads one row of each, and one of damaged replicas follows the damage.
-
-Everything is DataFrame functions but read_warc, which has to parse files. A level of a tree is one aggregation with at
-most FAN (or FILE_FAN) hashes a group; nothing is gathered on the driver but the number of the top level.
-
-Defined cases: null urls and pages count as empty; null page numbers make up one file of their own; rows with equal page
-numbers are separate records, in the order of url and page hash; an empty table gives an empty tree, and equal replicas an
-empty report; other columns are not read.
+Pages become WARC/1.1 response records. Records are numbered from 0 without gaps in the order of page number, url and
+hash; FILE_RECORDS neighbours make an archive file, in which they stand one after the other. A tree holds the hash of
+every record, of every range of FAN neighbouring records in offset order, of every file, and of ranges of FILE_FAN files up
+to one root. Two replicas are compared from the root; only children of nodes that differ are read on, so an audit of equal
+replicas reads one row of each, and one of damaged replicas follows the damage.
+
+Everything is DataFrame functions but read_warc, which has to parse files. No group is larger than a file or a fan,
+whatever the page numbers: rows are numbered by sorted ranges and the ranges' counts (one row a partition). A level of a
+tree is one aggregation with at most FAN (or FILE_FAN) hashes a group. Hashes are made where the pages lie, so the audit
+moves no page.
+
+Defined cases: null urls and pages count as empty; null page numbers come first; rows with equal page numbers are separate
+records; an empty table gives an empty tree, and equal replicas an empty report; other columns are not read. read_warc holds
+one archive file at a time, of at most the 2 GB that Spark's binary reader takes.
 """
 
 from __future__ import annotations
@@ -18,81 +21,105 @@ from __future__ import annotations
 import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, shuffle_partitions
 
 FILE_RECORDS, FAN, FILE_FAN = 256, 16, 1024
 DATE = "2024-01-01T00:00:00Z"
+_IN_PARTITION = (1 << 33) - 1
 
 
-def to_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, file, record (the whole record as text)."""
-    url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
-    number = F.col(id_col).cast("long")
+def record_text(number: Column, url: Column, html: Column) -> Column:
+    """A whole response record as text."""
     name = F.md5(F.concat(F.coalesce(number.cast("string"), F.lit("")), F.lit(" "), url))
     uuid = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html)
     head = F.concat(F.lit(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: {DATE}\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(http).cast("string"), F.lit("\r\n\r\n"))
-    file = F.coalesce(F.floor(number / FILE_RECORDS).cast("long"), F.lit(-1).cast("long"))
-    return df.select(number.alias("page_id"), file.alias("file"), F.concat(head, http, F.lit("\r\n\r\n")).alias("record"))
+    return F.concat(head, http, F.lit("\r\n\r\n"))
+
+
+def to_records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id, url, record (the whole record as text)."""
+    url, html = F.coalesce(F.col(url_col), F.lit("")), F.coalesce(F.col(html_col), F.lit(""))
+    number = F.col(id_col).cast("long")
+    return df.select(number.alias("page_id"), url.alias("url"), record_text(number, url, html).alias("record"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """page_id, file, pos (number in the file), start, stop (byte offsets), hash of every record."""
-    hashed = records.select("page_id", "file", F.octet_length("record").cast("long").alias("__n"), F.sha2(F.encode("record", "utf-8"), 256).alias("hash"))
-    order = W.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "hash")
-    stop = F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return hashed.select("page_id", "file", (F.row_number().over(order).cast("long") - 1).alias("pos"), (stop - F.col("__n")).alias("start"), stop.alias("stop"), "hash")
+def record_hash(record: Column) -> Column:
+    return F.sha2(F.encode(record, "utf-8"), 256)
 
 
-def _parents(level: DataFrame, keys: list, fan_key) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with file and pos: rows numbered from 0 in the given order, FILE_RECORDS to a file. Nothing is put in one task:
+    ranges are sorted apart, and each range starts where the counts of those before it end."""
+    spark = df.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in (*order, "__tie")]  # the tie lets equal rows fall into several ranges
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys).drop("__tie")
+    placed = materialize(ranged.withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a partition
+    first, offsets = 0, []
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(first)
+        first += counts.get(p, 0)
+    base = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets or [0]]), part + 1)
+    number = base + F.col("__m").bitwiseAND(F.lit(_IN_PARTITION))
+    return placed.withColumn("file", F.floor(number / FILE_RECORDS).cast("long")).withColumn("pos", F.pmod(number, F.lit(FILE_RECORDS)).cast("long")).drop("__m")
+
+
+def lay_out(records: DataFrame) -> DataFrame:
+    """An archive: page_id, url, record, file, pos."""
+    return number_rows(records.withColumn("__h", record_hash(F.col("record"))), ["page_id", "url", "__h"]).drop("__h")
+
+
+def leaves(archive: DataFrame, size: Column | None = None, digest: Column | None = None) -> DataFrame:
+    """page_id, file, pos, start, stop (byte offsets in the file), hash of every record of an archive."""
+    size = F.octet_length("record") if size is None else size
+    digest = record_hash(F.col("record")) if digest is None else digest
+    hashed = archive.select("page_id", "file", "pos", size.cast("long").alias("__n"), digest.alias("hash"))
+    stop = F.sum("__n").over(W.partitionBy("file").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return hashed.select("page_id", "file", "pos", (stop - F.col("__n")).alias("start"), stop.alias("stop"), "hash")
+
+
+def _parents(level: DataFrame, keys: list, fan_key: Column) -> DataFrame:
     """One row a group of neighbours; at most a fan of hashes is gathered for each."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("file", "pos", "hash"))), lambda x: x["hash"])
     return level.withColumn("__up", fan_key).groupBy(*keys, "__up").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sha2(F.concat(F.lit("node:"), F.array_join(parts, "")), 256).alias("hash"))
 
 
 def build_tree(leaf_rows: DataFrame, fan: int = FAN, file_fan: int = FILE_FAN) -> list[DataFrame]:
-    """Levels of the tree from the root down: each has file, pos, start, stop, hash, and up (its parent's key); the last has page_id too.
+    """Levels of the tree from the root down: each has file, pos, start, stop, hash, and up_file, up (its parent's key); the
+    last has page_id too.
 
     Inside a file nodes are (file, pos); a file's root is pos 0 of the level above its ranges; above files, `file` is a
     number of a range of files."""
+    zero = F.lit(0).cast("long")
     levels = [leaf_rows.withColumn("up", F.floor(F.col("pos") / fan).cast("long")).withColumn("up_file", F.col("file"))]
     ranges = materialize(_parents(leaf_rows, ["file"], F.floor(F.col("pos") / fan).cast("long")).withColumnRenamed("__up", "pos"), "merkle")
-    levels.append(ranges.withColumn("up", F.lit(0).cast("long")).withColumn("up_file", F.col("file")))
-    files = materialize(_parents(ranges, ["file"], F.lit(0).cast("long")).withColumnRenamed("__up", "pos"), "merkle")
+    levels.append(ranges.withColumn("up", zero).withColumn("up_file", F.col("file")))
+    files = materialize(_parents(ranges, ["file"], zero).withColumnRenamed("__up", "pos"), "merkle")
     while True:
-        last = files.limit(2).count() < 2
-        levels.append(files.withColumn("up", F.lit(0).cast("long")).withColumn("up_file", F.floor(F.col("file") / file_fan).cast("long")))
-        if last:
-            return levels[::-1]
         up = F.floor(F.col("file") / file_fan).cast("long")
-        files = _parents(files, [], up).withColumnRenamed("__up", "file").withColumn("pos", F.lit(0).cast("long"))
-        # numbers below zero and above share no range at first, so ranges of ranges end in at most two
-        files = materialize(files, "merkle")
-        if files.filter("file < 0").limit(1).count():
-            files = files.withColumn("file", F.greatest("file", F.lit(-1).cast("long")) + 1)
+        levels.append(files.withColumn("up", zero).withColumn("up_file", up))
+        if files.limit(2).count() < 2:
+            return levels[::-1]
+        files = materialize(_parents(files, [], up).withColumnRenamed("__up", "file").withColumn("pos", zero), "merkle")
 
 
 def audit(primary: list[DataFrame], replica: list[DataFrame]) -> tuple[DataFrame, list[int]]:
     """Damaged leaves (file, pos, start, stop, page_id, expected, actual; null where a side has no such record), and how many
-    node pairs were compared on each level."""
-    depth = max(len(primary), len(replica))
+    node pairs were compared on each level from the root down. Trees of different height are compared from the lower one's
+    root level on."""
+    depth = min(len(primary), len(replica))
     suspects, compared = None, []
     for i in range(depth):
-        sides = []
-        for tree in (primary, replica):
-            at = i - (depth - len(tree))
-            sides.append(tree[at] if at >= 0 else None)
-        if None in sides:  # trees of different height differ above; go down to where both have nodes
-            continue
-        mine, other = sides
+        mine, other = primary[len(primary) - depth + i], replica[len(replica) - depth + i]
         if suspects is not None:
-            keys = F.broadcast(suspects) if False else suspects
-            mine = mine.join(keys, [mine.up_file == keys.s_file, mine.up == keys.s_pos], "left_semi")
-            other = other.join(keys, [other.up_file == keys.s_file, other.up == keys.s_pos], "left_semi")
+            mine = mine.join(suspects, [mine.up_file == suspects.s_file, mine.up == suspects.s_pos], "left_semi")
+            other = other.join(suspects, [other.up_file == suspects.s_file, other.up == suspects.s_pos], "left_semi")
         extra = ["page_id"] if i == depth - 1 else []
         a = mine.select("file", "pos", *[F.col(c).alias(f"a_{c}") for c in ("start", "stop", "hash", *extra)])
         b = other.select("file", "pos", *[F.col(c).alias(f"b_{c}") for c in ("start", "stop", "hash", *extra)])
@@ -104,10 +131,10 @@ def audit(primary: list[DataFrame], replica: list[DataFrame]) -> tuple[DataFrame
     return found, compared
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write records to .warc text files, one folder a file number, in page order."""
-    rows = records.withColumn("value", F.expr("left(record, length(record) - 2)"))
-    rows.repartition("file").sortWithinPartitions("file", F.col("page_id").asc_nulls_first(), F.sha2(F.encode("record", "utf-8"), 256)).select("file", "value").write.partitionBy("file").option("lineSep", "\r\n").text(path)
+def write_warc(archive: DataFrame, path: str) -> None:
+    """Write an archive to .warc text files, one folder a file number, in page order."""
+    rows = archive.withColumn("value", F.expr("left(record, length(record) - 2)"))
+    rows.repartition("file").sortWithinPartitions("file", "pos").select("file", "value").write.partitionBy("file").option("lineSep", "\r\n").text(path)
 
 
 def parse_warc(data: bytes):
@@ -150,23 +177,28 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "path string, offset long, length long, url string, html string")
 
 
-def damaged_copy(records: DataFrame) -> DataFrame:
-    """A replica with stated damage, for drills: records of pages with number % 97 = 13 have their middle character
-    overwritten, and those with number % 211 = 5 lose their last 7 characters."""
-    middle = F.floor(F.length("record") / 2).cast("int")
-    flipped = F.expr("concat(left(record, floor(length(record) / 2) - 1), char(1), substring(record, floor(length(record) / 2) + 1))")
-    cut = F.expr("left(record, length(record) - 7)")
-    return records.withColumn("record", F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 211 == 5, cut).otherwise(F.col("record"))).withColumn("__m", middle).drop("__m")
+def damaged_text(page_id: Column, record: Column) -> Column:
+    """Stated damage, for drills: records of pages with number % 97 = 13 have their middle character overwritten, and those
+    with number % 211 = 5 lose their last 7 characters."""
+    middle = F.floor(F.length(record) / 2).cast("int")
+    flipped = F.concat(F.left(record, middle - 1), F.lit("\x01"), F.substring(record, middle + 1, F.length(record)))
+    return F.when(page_id % 97 == 13, flipped).when(page_id % 211 == 5, F.left(record, F.length(record) - 7)).otherwise(record)
+
+
+def damaged_copy(archive: DataFrame) -> DataFrame:
+    """A replica of an archive with damaged_text's damage."""
+    return archive.withColumn("record", damaged_text(F.col("page_id"), F.col("record")))
 
 
-def fixity_report(df: DataFrame, replica: DataFrame | None = None) -> DataFrame:
-    """One row a page of df: page_id, file, start, stop, record_sha256, replica_sha256, damaged, as the audit of df's archive
-    against a replica (records; by default damaged_copy) finds it."""
+def fixity_report(df: DataFrame) -> DataFrame:
+    """A drill over all pages: one row a page with page_id, file, start, stop, record_sha256, replica_sha256, damaged, as the
+    audit of df's archive against its damaged copy finds it. For replicas that lie somewhere: lay_out, leaves, audit."""
     records = to_records(df)
-    mine = materialize(leaves(records), "leaves")
-    other = leaves(damaged_copy(records) if replica is None else replica)
-    # A replica keeps the layout of the archive it copies: its records stand where the manifest says.
-    other = materialize(other, "leaves")
+    copy = damaged_text(F.col("page_id"), F.col("record"))
+    hashed = records.select("page_id", "url", F.octet_length("record").alias("n"), record_hash(F.col("record")).alias("h"), F.octet_length(copy).alias("c_n"), record_hash(copy).alias("c_h"))
+    layout = number_rows(hashed, ["page_id", "url", "h"])
+    mine = materialize(leaves(layout, F.col("n"), F.col("h")), "leaves")
+    other = materialize(leaves(layout, F.col("c_n"), F.col("c_h")), "leaves")
     found, _ = audit(build_tree(mine), build_tree(other))
     marks = found.filter("expected is not null").select("file", "pos", "actual", F.lit(True).alias("__bad"))
     joined = mine.join(marks, ["file", "pos"], "left")
