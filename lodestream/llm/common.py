@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,24 +64,35 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """df with its columns named c0, c1 ..., and the new name of an old one: no column then clashes with an operator's own."""
+    names = list(df.columns)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dense_rank_slots(df: DataFrame, group: list[str], order: list[str], out: str, spread: int = 64) -> DataFrame:
-    """Number the rows of each group from 0 without gaps and without one task per group.
+#: Offsets of cells that are broadcast at most; a cell's offset is some tens of bytes.
+BROADCAST_CELLS = 200_000
+
+
+def dense_rank_slots(df: DataFrame, group: list[str], order: list[str], out: str, n_groups: int, spread: int | None = None) -> DataFrame:
+    """Number the rows of each of at most n_groups groups from 0 without gaps and without one task per group.
 
     Rows of a group are dealt over `spread` cells by a hash of the ordering columns; a cell is numbered alone, and the
-    cells' counts (spread rows a group) give each cell's offset. Any group may hold all rows. Groups must be few: their
-    number times `spread` bounds the broadcast table of offsets.
+    cells' counts (spread rows a group) give each cell's offset. Any group may hold all rows. The spread grows with the
+    session's shuffle partitions; n_groups times spread bounds the table of offsets, which is broadcast only if that is small.
     """
     from pyspark.sql import Window as W
 
+    spread = spread or max(64, shuffle_partitions(df.sparkSession) // 2)
     cell = df.withColumn("__cell", F.pmod(F.xxhash64(*order), F.lit(spread)))
     counts = cell.groupBy(*group, "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*group, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     inner = W.partitionBy(*group, "__cell").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = cell.withColumn("__at", F.row_number().over(inner).cast("long") - 1)
-    joined = numbered.join(F.broadcast(offsets), [*group, "__cell"])
+    joined = numbered.join(F.broadcast(offsets) if n_groups * spread <= BROADCAST_CELLS else offsets, [*group, "__cell"])
     return joined.withColumn(out, F.col("__at") + F.col("__before")).drop("__at", "__before", "__cell")

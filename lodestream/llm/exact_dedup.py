@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, materialize, scratch_path
+from .common import ASCII_LOWER, materialize, plain_names
 
 #: Bytes of text that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 16 << 20
+#: Entries of one digest that a task merges.
+HOT_ENTRIES = 1024
 _BLOOM = {"parquet.bloom.filter.enabled#__digest": "true", "parquet.bloom.filter.expected.ndv#__digest": "50000"}
 _NULL_LAST = (1 << 63) - 1
 
@@ -87,43 +89,62 @@ def _flusher(id_col: str, text_col: str, keep: str, members: bool, limit: int, d
     return run
 
 
-def _merger(text_col: str, members: bool, lower: bool, schema: pa.Schema):
-    """Merge runs that arrive sorted by (digest, order, uid): the first of each distinct text is the one that stays."""
+def _merger(by: list[str], text_col: str, members: bool, lower: bool, schema: pa.Schema):
+    """Merge runs that arrive sorted by (*by, order, uid): the first entry of each distinct text in a part wins.
 
-    def classes(batches):
-        digest, same = None, []
+    With members, every entry comes out with its winner's uid, and only winners keep their text; else only winners do."""
+
+    def run(batches):
+        part, same = None, []
         for batch in batches:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            digests = batch.column("__digest").to_pylist()
-            uids = batch.column("__uid").to_pylist()
-            keys = batch.column("__key").to_pylist()
-            out = []
-            for row, (d, text) in enumerate(zip(digests, texts, strict=True)):
+            rows, winners, texts_out = [], [], []
+            columns = (batch.column(n).to_pylist() for n in ("__uid", *by))
+            for row, (text, uid, *at) in enumerate(zip(batch.column(text_col).cast(pa.binary()).to_pylist(), *columns, strict=True)):
                 text = (text or b"").translate(ASCII_LOWER) if lower and not members else text or b""
-                if d != digest:
-                    digest, same = d, []
-                entry = next((e for e in same if e[0] == text), None)
+                if at != part:
+                    part, same = at, []
+                entry = next((e for e in same if e[0] == text), None)  # a hit is believed only when the bytes agree
                 if entry is None:
-                    same.append(entry := (text, uids[row], keys[row], hashlib.sha256(text).hexdigest() if members else ""))
-                    out.append((row, entry))
-                elif members:
-                    out.append((row, entry))
-            yield batch, out
-
-    def run(batches):
-        for batch, out in classes(batches):
-            if not out:
-                continue
-            got = batch.take(pa.array([row for row, _ in out], pa.int64()))
+                    same.append(entry := (text, uid))
+                elif not members:
+                    continue
+                rows.append(row)
+                winners.append(entry[1])
+                texts_out.append(text if entry[1] == uid else None)
+            got = batch.take(pa.array(rows, pa.int64()))
+            made = {"__winner": pa.array(winners, pa.int64())}
             if members:
-                columns = [pa.array([e[1] for _, e in out], pa.int64()), pa.array([e[2] for _, e in out], pa.int64()), pa.array([e[3] for _, e in out], pa.string()), got.column("__ids"), got.column("__uids")]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-            else:
-                yield got.select(schema.names)
+                made[text_col] = pa.array(texts_out, pa.binary())
+            yield pa.RecordBatch.from_arrays([(made[n] if n in made else got.column(n)).cast(schema.field(n).type) for n in schema.names], names=schema.names)
 
     return run
 
 
+def _merge(entries: DataFrame, by: list[str], text_col: str, members: bool, lower: bool) -> DataFrame:
+    schema = T.StructType([f for f in entries.schema.fields if f.name != "__salt"] + [T.StructField("__winner", T.LongType())])
+    ordered = entries.repartition(*by).sortWithinPartitions(*by, "__order", "__uid")
+    return ordered.mapInArrow(_merger(by, text_col, members, lower, _arrow(schema)), schema)
+
+
+def compact(entries: DataFrame, text_col: str, members: bool, lower: bool, hot_entries: int) -> DataFrame:
+    """Entries (digest, order, uid, text, ...) with the uid of the entry that wins their text, over all runs."""
+    counts = entries.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"))
+    hot = materialize(counts.filter(F.col("__n") > hot_entries), "lsm-hot")
+    if not hot.limit(1).count():
+        return _merge(entries, ["__digest"], text_col, members, lower)
+    marked = entries.join(hot, "__digest", "left").select(*entries.columns, "__n")
+    salted = marked.filter("__n is not null").withColumn("__salt", F.pmod(F.xxhash64("__uid"), F.ceil(F.col("__n") / hot_entries))).drop("__n")
+    first = materialize(_merge(salted, ["__digest", "__salt"], text_col, members, lower), "lsm-level")
+    winners = first.filter("__winner = __uid").drop("__winner")
+    second = _merge(marked.filter("__n is null").drop("__n").unionByName(winners), ["__digest"], text_col, members, lower)
+    if not members:
+        return second
+    second = materialize(second, "lsm-merged")
+    ends = second.select(F.col("__uid").alias("__part"), F.col("__winner").alias("__end"))
+    rest = first.filter("__winner <> __uid").join(ends, F.col("__winner") == F.col("__part")).withColumn("__winner", F.col("__end")).select(*second.columns)
+    return second.unionByName(rest)
+
+
 def _arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -147,7 +168,7 @@ def lookup(runs: DataFrame, digests: list[bytes]) -> DataFrame:
     return runs.filter(F.col("__digest").isin([F.lit(d) for d in digests]))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES, digest_bytes: int = 32, lower: bool = True) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES, digest_bytes: int = 32, lower: bool = True, hot_entries: int = HOT_ENTRIES) -> DataFrame:
     """One row for each row of df: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     keep: whether the smallest or the largest id of equal texts stays. digest_bytes: length of the digests that the index
@@ -155,18 +176,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     rows = df.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).alias("__text"))
     runs = flush_runs(rows, "__key", "__text", keep, True, memtable_bytes, digest_bytes, lower)
-    schema = T.StructType([T.StructField("__keep_uid", T.LongType()), T.StructField("keep_id", T.LongType()), T.StructField("text_sha256", T.StringType()), T.StructField("__ids", T.ArrayType(T.LongType())), T.StructField("__uids", T.ArrayType(T.LongType()))])
-    ordered = runs.repartition("__digest").sortWithinPartitions("__digest", "__order", "__uid")
-    merged = materialize(ordered.mapInArrow(_merger("__text", True, lower, _arrow(schema)), schema), "lsm-merged")
-    sizes = merged.groupBy("__keep_uid").agg(F.sum(F.size("__ids")).cast("long").alias("group_size"))
-    each = merged.join(sizes, "__keep_uid").select("*", F.explode(F.arrays_zip("__ids", "__uids")).alias("__row"))
-    return each.select(F.col("__row.__ids").alias("doc_id"), "keep_id", "group_size", (F.col("__row.__uids") == F.col("__keep_uid")).alias("kept"), "text_sha256")
-
-
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES, lower: bool = True) -> DataFrame:
-    """The rows of df that stay, with all their columns; text moves through one shuffle."""
-    names = df.columns
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.col(id_col).cast("long").alias("__key"))
-    runs = flush_runs(rows, "__key", text_col, keep, False, memtable_bytes, 32, lower)
-    ordered = runs.repartition("__digest").sortWithinPartitions("__digest", "__order", "__uid")
-    return ordered.mapInArrow(_merger(text_col, False, lower, _arrow(df.schema)), df.schema)
+    entries = runs.select("__digest", "__order", "__uid", "__key", "__text", F.size("__ids").cast("long").alias("__size"))
+    merged = compact(entries, "__text", True, lower, hot_entries).select("__uid", "__winner", "__size", F.when(F.col("__uid") == F.col("__winner"), F.col("__key")).alias("__key"), F.sha2("__text", 256).alias("__sha"))
+    merged = materialize(merged, "lsm-merged")
+    # an aggregate, so that a hot text's entries are combined where they lie
+    groups = merged.groupBy("__winner").agg(F.sum("__size").alias("group_size"), F.max("__key").alias("keep_id"), F.max("__sha").alias("text_sha256"))
+    placed = merged.select("__uid", "__winner").join(groups, "__winner")
+    each = runs.select("__uid", "__ids", "__uids").join(placed, "__uid").select("*", F.explode(F.arrays_zip("__ids", "__uids")).alias("__row"))
+    return each.select(F.col("__row.__ids").alias("doc_id"), "keep_id", "group_size", (F.col("__row.__uids") == F.col("__winner")).alias("kept"), "text_sha256")
+
+
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_bytes: int = MEMTABLE_BYTES, lower: bool = True, hot_entries: int = HOT_ENTRIES) -> DataFrame:
+    """The rows of df that stay, with all their columns, whatever their names; text moves through one shuffle."""
+    rows, name = plain_names(df)
+    runs = flush_runs(rows.withColumn("__key", F.col(name(id_col)).cast("long")), "__key", name(text_col), keep, False, memtable_bytes, 32, lower)
+    return compact(runs, name(text_col), False, lower, hot_entries).select(*rows.columns).toDF(*df.columns)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, materialize
+from .common import ASCII_LOWER, bounded_batches, materialize, plain_names
 from .components import connected_components
 
 WORDS = 5
@@ -284,6 +284,7 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORD
 
 def drop_near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay: of each component the rows with its smallest id."""
-    found = near_duplicates(df, threshold, id_col=id_col, text_col=text_col)
+    rows, name = plain_names(df)
+    found = near_duplicates(rows, threshold, id_col=name(id_col), text_col=name(text_col))
     dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return df.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    return rows.join(dropped, F.col(name(id_col)) == F.col("__dropped"), "left_anti").toDF(*df.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, materialize, plain_names
 
 #: Documents the scorer is fitted on, at most.
 TRAIN_ROWS = 6_000
@@ -233,11 +233,12 @@ def score_documents(df: DataFrame, threshold: float = 0.5, train_rows: int = TRA
 
 def drop_rejected(df: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that the scorer keeps, in one pass without a shuffle."""
-    _, weights = train(df, train_rows, id_col, text_col)
+    rows, name = plain_names(df)
+    at = name(text_col)
+    _, weights = train(rows, train_rows, name(id_col), at)
 
     def run(batches):
         for b in batches:
-            texts = b.column(text_col).to_pylist()
-            yield b.filter(pa.array([score(weights, *analyse(t or "", True)[1:]) >= threshold for t in texts], pa.bool_()))
+            yield b.filter(pa.array([score(weights, *analyse(t or "", True)[1:]) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*df.columns)

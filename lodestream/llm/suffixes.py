@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, scratch_path, shuffle_partitions
+from .common import bounded_batches, materialize, plain_names, scratch_path, shuffle_partitions
 
 LENGTH = 200
 GRAM = 80
@@ -514,15 +514,17 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, text_c
     from pyspark.sql.pandas.types import to_arrow_schema
 
     bounded_batches(df.sparkSession)
-    names = df.columns
-    staged, parts = _stage(df.select(*[F.col(f"`{c}`").alias("__text" if c == text_col else c) for c in names]))
+    rows, name = plain_names(df)
+    names, text = rows.columns, name(text_col)
+    staged, parts = _stage(rows.withColumnRenamed(text, "__text"))
     spans = _spans(staged, parts, length, gram)
-    fields = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
     schema = to_arrow_schema(fields, timestamp_utc=True)
 
     def each(docs: pa.Table, runs: list) -> pa.Table:
         texts = docs.column("__text").to_pylist()
         kept = [t if not r else _kept(t.encode(), r).decode("utf-8", errors="ignore") for t, r in zip(texts, runs, strict=True)]
-        return pa.table([pa.array(kept, pa.string()) if n == text_col else docs.column(n).cast(schema.field(n).type) for n in names], schema=schema)
+        return pa.table([pa.array(kept, pa.string()) if n == text else docs.column(n).cast(schema.field(n).type) for n in names], schema=schema)
 
-    return staged.groupBy("__chunk").cogroup(spans.groupBy("__chunk")).applyInArrow(_finish(length, each, schema), fields)
+    done = staged.groupBy("__chunk").cogroup(spans.groupBy("__chunk")).applyInArrow(_finish(length, each, schema), fields)
+    return done.toDF(*df.columns)
