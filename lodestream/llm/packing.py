@@ -6,7 +6,7 @@ which has at most `capacity` rows however many pieces there are. On the histogra
 length left and filled by a bitset subset-sum over the available lengths, which finds the fullest feasible combination;
 that combination is removed as often as the counts allow, so the number of steps does not depend on the number of pieces.
 Pieces then take their places by arithmetic: a gapless number within their length leads to a bin and an offset. No task
-holds more than a share of a length's pieces.
+holds more than a share of a length's pieces. Pieces of full length are sequences already and are neither counted nor moved.
 
 Defined cases: a null text counts as empty and is the end id alone; rows with equal ids or texts are separate pieces; an
 empty table gives an empty result; other columns are not read.
@@ -25,6 +25,8 @@ from .common import dense_rank_slots, materialize
 
 CAPACITY = 1024
 END_ID = 2
+#: Numbers of full-length sequences start here, beyond those of all others.
+FULL = 1 << 62
 
 
 def default_ranks() -> str:
@@ -121,6 +123,8 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces with a length and a uid that is unique."""
     spark = pieces.sparkSession
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", F.lit(FULL) + F.col("uid")).withColumn("offset", F.lit(0).cast("long"))
+    pieces = pieces.filter(F.col("length") < capacity)
     # at most `capacity` rows reach the driver, whatever the input
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, bins, used = [], 0, dict.fromkeys(histogram, 0)
@@ -134,10 +138,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # A combination is used until a length runs short of it, so its rows are bounded by the capacity, not by the pieces.
     plan = spark.createDataFrame(rows, "length long, from_slot long, to_slot long, per_bin long, first_bin long, first_offset long")
     cells = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("from_slot", "to_slot", "per_bin", "first_bin", "first_offset"))).alias("__plan"))
-    slots = dense_rank_slots(pieces, ["length"], ["uid"], "__slot")
+    slots = dense_rank_slots(pieces, ["length"], ["uid"], "__slot", capacity)
     placed = slots.join(F.broadcast(cells), "length").withColumn("__p", F.filter("__plan", lambda p: (p["from_slot"] <= F.col("__slot")) & (F.col("__slot") < p["to_slot"]))[0])
     at = F.col("__slot") - F.col("__p.from_slot")
-    return placed.withColumn("sequence_id", F.col("__p.first_bin") + F.floor(at / F.col("__p.per_bin"))).withColumn("offset", F.col("__p.first_offset") + F.pmod(at, F.col("__p.per_bin")) * F.col("length")).drop("__plan", "__p", "__slot")
+    packed = placed.withColumn("sequence_id", F.col("__p.first_bin") + F.floor(at / F.col("__p.per_bin"))).withColumn("offset", F.col("__p.first_offset") + F.pmod(at, F.col("__p.per_bin")) * F.col("length")).drop("__plan", "__p", "__slot")
+    return packed.unionByName(full)
 
 
 def pack_documents(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

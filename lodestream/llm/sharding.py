@@ -30,7 +30,7 @@ def rendezvous_shard(key: Column, weights: list[float]) -> Column:
     return (-best["no"]).cast("int")
 
 
-def shard_records(df: DataFrame, weights: list[float] | None = None, key_col: str = "doc_id", text_col: str = "text", spread: int = 64) -> DataFrame:
+def shard_records(df: DataFrame, weights: list[float] | None = None, key_col: str = "doc_id", text_col: str = "text", spread: int | None = None) -> DataFrame:
     """One row for each row of df: doc_id, size, text_crc32, law, shard, slot (gapless in its shard), grown_shard (with one more shard of weight 1)."""
     weights = weights or [1.0] * N_SHARDS
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -42,5 +42,5 @@ def shard_records(df: DataFrame, weights: list[float] | None = None, key_col: st
         rendezvous_shard(F.col(key_col), weights).alias("shard"),
         rendezvous_shard(F.col(key_col), [*weights, 1.0]).alias("grown_shard"),
     )
-    slotted = dense_rank_slots(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot", spread)
+    slotted = dense_rank_slots(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot", len(weights), spread)
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
