@@ -167,8 +167,11 @@ def with_next(df: DataFrame) -> DataFrame:
         return rows
     # a range's first document follows the last one of the range above; the topmost follows the lowest
     above = dict(zip(order, order[1:] + order[:1], strict=True))
-    lender = F.create_map(*[x for r in order for x in (F.lit(r), F.struct(F.lit(tops[r]).cast("long").alias("top"), F.lit(above[r]).alias("to")))])
-    lent = ranged.withColumn("__l", lender[F.col("range")]).filter(F.col("key").eqNullSafe(F.col("__l.top"))).withColumn("range", F.col("__l.to")).drop("__l").withColumn("lent", F.lit(True))
+    # by place in an array, so that a row's look-up doesn't grow with the number of ranges
+    lenders = {r: F.struct(F.lit(tops[r]).cast("long").alias("top"), F.lit(above[r]).alias("to")) for r in order}
+    nobody = F.lit(None).cast("struct<top: bigint, to: int>")
+    lender = F.array(*[lenders.get(r, nobody) for r in range(-1, order[-1] + 1)])
+    lent = ranged.withColumn("__l", F.get(lender, F.col("range") + 1)).filter(F.col("__l").isNotNull() & F.col("key").eqNullSafe(F.col("__l.top"))).withColumn("range", F.col("__l.to")).drop("__l").withColumn("lent", F.lit(True))
     return rows.unionByName(lent).repartition(parts // 4, "range").sortWithinPartitions("range", "lent", F.desc_nulls_last("key"), F.desc("tie"))
 
 
