@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filters import matching, predicate
+from .filters import definite, matching, predicate
 
 
 def get_document(df: DataFrame, key: Any, id_col: str = "_id") -> DataFrame:
@@ -102,7 +102,7 @@ def update_document(df: DataFrame, key: Any, updates: Mapping[str, Any], id_col:
 
 def update_documents(df: DataFrame, query: Mapping[str, Any] | None, updates: Mapping[str, Any], changed: str | None = None) -> DataFrame:
     """The collection after an update of all matching documents."""
-    return update_where(df, predicate(df.schema, query), updates, changed)
+    return update_where(df, definite(predicate(df.schema, query)), updates, changed)
 
 
 def _first(df: DataFrame, query: Mapping[str, Any] | None, id_col: str) -> DataFrame:
@@ -121,7 +121,7 @@ def delete_document(df: DataFrame, key: Any, id_col: str = "_id") -> DataFrame:
 
 def delete_documents(df: DataFrame, query: Mapping[str, Any] | None) -> DataFrame:
     """The collection without all matching documents."""
-    return df.filter(~predicate(df.schema, query))
+    return df.filter(~definite(predicate(df.schema, query)))
 
 
 def delete_first(df: DataFrame, query: Mapping[str, Any] | None, id_col: str = "_id") -> DataFrame:

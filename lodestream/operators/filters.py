@@ -1,7 +1,7 @@
 """Document filters: a nested dict becomes one Column predicate that Catalyst pushes down where it can.
 
-A predicate is never null: a field that is null, or that a document lacks, compares as false, and `$ne`, `$nin`, `$nor` and
-`$not` are true for it. `{field: None}` matches null and missing. Equality with a plain value also matches an array field
+A field that is null, or that a document lacks, compares as false, and `$ne`, `$nin`, `$nor` and `$not` are true for it. A
+predicate may be null where it means false, which a filter takes alike and a scan can be asked for; negations make it false. `{field: None}` matches null and missing. Equality with a plain value also matches an array field
 that holds the value. Unknown operators raise ValueError; nothing is taken for "match all" but an empty filter.
 """
 
@@ -29,7 +29,8 @@ def _field(schema: T.StructType, path: str) -> tuple[Column, T.DataType] | None:
     return column, kind
 
 
-def _true(predicate: Column) -> Column:
+def definite(predicate: Column) -> Column:
+    """The predicate with false for null."""
     return F.coalesce(predicate, F.lit(False))
 
 
@@ -38,9 +39,9 @@ def _equals(column: Column, kind: T.DataType, value: Any) -> Column:
         return column.isNull()
     if isinstance(kind, T.ArrayType):
         if isinstance(value, (list, tuple)):
-            return _true(column == F.array(*[F.lit(v) for v in value]))
-        return _true(F.array_contains(column, F.lit(value)))
-    return _true(column == F.lit(value))
+            return column == F.array(*[F.lit(v) for v in value])
+        return F.array_contains(column, F.lit(value))
+    return column == F.lit(value)
 
 
 def _condition(schema: T.StructType, path: str, operator: str, value: Any) -> Column:
@@ -49,11 +50,12 @@ def _condition(schema: T.StructType, path: str, operator: str, value: Any) -> Co
         present = F.lit(False) if found is None else found[0].isNotNull()
         return present if value else ~present
     if operator == "$not":
-        return ~_conditions(schema, path, value)
+        return ~definite(_conditions(schema, path, value))
     if operator == "$ne":
-        return ~_condition(schema, path, "$eq", value)
+        plain = found is not None and not isinstance(found[1], T.ArrayType) and value is not None
+        return ~found[0].eqNullSafe(F.lit(value)) if plain else ~definite(_condition(schema, path, "$eq", value))
     if operator == "$nin":
-        return ~_condition(schema, path, "$in", value)
+        return ~definite(_condition(schema, path, "$in", value))
     if operator == "$in":
         options = list(value)
         plain = [v for v in options if v is not None]
@@ -62,14 +64,14 @@ def _condition(schema: T.StructType, path: str, operator: str, value: Any) -> Co
             return null
         column, kind = found
         if isinstance(kind, T.ArrayType):
-            return _true(F.arrays_overlap(column, F.array(*[F.lit(v) for v in plain]))) | null
-        return _true(column.isin(plain)) | null
+            return F.arrays_overlap(column, F.array(*[F.lit(v) for v in plain])) | null
+        return column.isin(plain) | null if len(plain) < len(options) else column.isin(plain)
     if operator == "$eq":
         return F.lit(value is None) if found is None else _equals(*found, value)
     if operator in _COMPARE:
-        return F.lit(False) if found is None else _true(getattr(found[0], _COMPARE[operator])(F.lit(value)))
+        return F.lit(False) if found is None else getattr(found[0], _COMPARE[operator])(F.lit(value))
     if operator == "$regex":
-        return F.lit(False) if found is None else _true(found[0].rlike(value))
+        return F.lit(False) if found is None else found[0].rlike(value)
     raise ValueError(f"unknown filter operator {operator}")
 
 
@@ -94,7 +96,7 @@ def _any(parts: list[Column]) -> Column:
 
 
 def predicate(schema: T.StructType, query: Mapping[str, Any] | None) -> Column:
-    """The predicate of a filter over documents of a schema."""
+    """The predicate of a filter over documents of a schema; null means false."""
     parts = []
     for key, value in (query or {}).items():
         if key == "$and":
@@ -102,7 +104,7 @@ def predicate(schema: T.StructType, query: Mapping[str, Any] | None) -> Column:
         elif key == "$or":
             parts.append(_any([predicate(schema, q) for q in value]))
         elif key == "$nor":
-            parts.append(~_any([predicate(schema, q) for q in value]))
+            parts.append(~definite(_any([predicate(schema, q) for q in value])))
         elif key.startswith("$"):
             raise ValueError(f"unknown filter operator {key}")
         else:

@@ -181,3 +181,15 @@ def search_lists(indexed: DataFrame, centroids: np.ndarray, query: Sequence[floa
     """The top_k rows nearest to a query among the lists of its n_probe nearest centroids."""
     near = np.argsort(-(centroids @ np.array(query, np.float64)), kind="stable")[:n_probe]
     return search_vectors(indexed.filter(F.col("list_id").isin([int(x) for x in near])), query, top_k, **columns)
+
+
+def probes_for(indexed: DataFrame, centroids: np.ndarray, query_ids: Sequence, queries: Sequence[Sequence[float]], top_k: int = 10, recall: float = 0.9, key: str = "vector_id", vector: str = "embedding") -> int:
+    """The fewest lists to probe so that a sample of queries finds `recall` of its exact top_k; at most QUERY_BLOCK queries.
+
+    Neighbours come from an exact search; a neighbour is found once its list is probed, so the lists' ranks decide."""
+    query_ids, queries = list(query_ids)[:QUERY_BLOCK], list(queries)[:QUERY_BLOCK]
+    exact = search_batch(indexed, query_ids, queries, top_k, key, vector).select("query_id", key)
+    lists = indexed.select(key, "list_id").join(F.broadcast(exact), key).select("query_id", "list_id").collect()  # top_k a query
+    rank = {q: np.argsort(np.argsort(-(centroids @ np.array(v, np.float64)), kind="stable")) for q, v in zip(query_ids, queries, strict=True)}
+    needed = np.sort([int(rank[r["query_id"]][r["list_id"]]) + 1 for r in lists])
+    return int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else 1
