@@ -11,7 +11,9 @@ Sorting is spared for text that cannot repeat. Equal strings have equal hashes a
 1. anchors are counted over all documents; windows whose anchor occurs once are done;
 2. the other windows are counted by their own hash; unique ones are done. Windows of one hot anchor spread over all tasks;
 3. what survives is cut into contexts at changes of anchor, equal contexts of a chunk are folded together, and contexts of
-   one anchor meet in one task, where those that occur once are suffix-sorted with the rest of their anchor's contexts.
+   one anchor meet in one task, where those that occur once are suffix-sorted with the rest of their anchor's contexts;
+4. the windows of an anchor that occurs in more than HOT_CHUNKS chunks stay where they are. One that repeats in its chunk is
+   settled there; the others ask for the number of equal strings, which is a sum with partial sums in every task.
 Hashes only ever spare work: a collision sends a string to the exact comparison. Counts travel as sorted arrays, one for
 each chunk of documents and part of the hash range, holding a hash at most twice, so a hot string costs a chunk two
 entries. The documents are written once as a table bucketed by chunk, so the passes over text shuffle no text.
@@ -43,6 +45,8 @@ GRAM = 80
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
 #: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
 KEPT_BYTES = 8 << 20
+#: Chunks whose contexts of one anchor may meet in a task.
+HOT_CHUNKS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,6 +168,11 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == keys
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys."""
+    return np.unique(keys)
+
+
 def _at_most_twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and whether each occurs more than once."""
     keys, counts = np.unique(keys, return_counts=True)
@@ -181,19 +190,22 @@ def _blobs(chunk: int, kind: int, keys: np.ndarray, twice: np.ndarray, parts: in
 
 
 _BLOB = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("twice", pa.binary())])
-_FLAG = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("bits", pa.binary())])
+_FLAG = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("bits", pa.binary()), ("hot", pa.binary())])
 
 
-def _count_repeats(kind: int):
-    """For one part of the hash range: which keys of each chunk occur twice or more in all."""
+def _count_repeats(kind: int, hot_chunks: int = HOT_CHUNKS):
+    """For one part of the hash range: which keys of each chunk occur twice or more in all, and which in many chunks."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         keys = [np.frombuffer(r["keys"], "<u4") for r in rows]
         twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(k)).astype(bool) for r, k in zip(rows, keys, strict=True)]
         order = np.sort(np.concatenate([*keys, *(k[t] for k, t in zip(keys, twice, strict=True))]))
-        repeated = np.unique(order[1:][order[1:] == order[:-1]])
-        out = [{"chunk": r["chunk"], "kind": kind, "part": r["part"], "bits": np.packbits(_among(k, repeated)).tobytes()} for r, k in zip(rows, keys, strict=True)]
+        repeated = _distinct(order[1:][order[1:] == order[:-1]])
+        present = np.sort(np.concatenate(keys))
+        hot = _distinct(present[hot_chunks:][present[hot_chunks:] == present[:-hot_chunks]]) if len(rows) > hot_chunks else present[:0]
+        mark = lambda k: np.packbits(found).tobytes() if len(hot) and (found := _among(k, hot)).any() else None
+        out = [{"chunk": r["chunk"], "kind": kind, "part": r["part"], "bits": np.packbits(_among(k, repeated)).tobytes(), "hot": mark(k)} for r, k in zip(rows, keys, strict=True)]
         return pa.Table.from_pylist(out, schema=_FLAG)
 
     return run
@@ -209,10 +221,13 @@ def _apply_flags(keys: np.ndarray, flags: dict[int, bytes], parts: int) -> np.nd
     return keys[bits]
 
 
-def _flag_maps(flags: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
-    maps: tuple[dict, dict] = ({}, {})
+def _flag_maps(flags: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes], dict[int, bytes]]:
+    """By part: repeated anchors, repeated windows, hot anchors."""
+    maps: tuple[dict, dict, dict] = ({}, {}, {})
     for r in flags.to_pylist():
         maps[r["kind"]][r["part"]] = r["bits"]
+        if r["kind"] == 0 and r["hot"] is not None:
+            maps[2][r["part"]] = r["hot"]
     return maps
 
 
@@ -229,8 +244,8 @@ def _all_windows(texts: list[bytes], anchors: dict[int, bytes], length: int, gra
     """Windows objects, candidate starts and their short keys. Windows are kept between the two steps where that is cheap."""
     kept = [w.settle() for w in windows_of(texts, length, gram)] if sum(map(len, texts)) <= KEPT_BYTES else None
     again = lambda: kept if kept is not None else windows_of(texts, length, gram)
-    made = [np.unique(short_keys(w.anchor_set(), parts)) for w in again()]
-    repeated = _apply_flags(np.unique(np.concatenate(made)), anchors, parts) if made else np.empty(0, np.uint64)
+    made = [_distinct(short_keys(w.anchor_set(), parts)) for w in again()]
+    repeated = _apply_flags(_distinct(np.concatenate(made)), anchors, parts) if made else np.empty(0, np.uint64)
     for w in again() if len(repeated) else ():
         at = w.candidates(repeated, parts)
         if len(at):
@@ -250,36 +265,40 @@ def _window_pass(length: int, gram: int, parts: int):
     return run
 
 
-_CONTEXT = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("chunk", pa.int64()), ("refs", pa.binary())])
+_CONTEXT = pa.schema([("anchor", pa.int64()), ("context", pa.binary()), ("chunk", pa.int64()), ("refs", pa.binary()), ("hot", pa.bool_())])
 
 
 def _context_pass(length: int, gram: int, parts: int):
     def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
         if not docs.num_rows or not flags.num_rows:
             return _CONTEXT.empty_table()
-        anchors, windows = _flag_maps(flags)
+        anchors, windows, hot_bits = _flag_maps(flags)
         texts, uids = _texts(docs), np.array(docs.column("__uid").to_pylist(), np.int64)
         every = _all_windows(texts, anchors, length, gram, parts)
         kept = list(every) if sum(map(len, texts)) <= KEPT_BYTES else None
         again = lambda: kept if kept is not None else _all_windows(texts, anchors, length, gram, parts)
-        keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(k for _, _, k in again())]))
+        keys = _distinct(np.concatenate([np.empty(0, np.uint64), *(k for _, _, k in again())]))
         repeated = _apply_flags(keys, windows, parts)
-        folded: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        hot = np.empty(0, np.uint64)
+        if hot_bits:
+            hot = _apply_flags(_distinct(np.concatenate([short_keys(w.anchor_set(), parts) for w in windows_of(texts, length, gram)])), hot_bits, parts)
+        folded: dict[tuple[int, bytes, bool], list[tuple[int, int]]] = {}
         for w, at, keys in again() if len(repeated) else ():
             at = at[_among(keys, repeated)]
             if not len(at):
                 continue
             least = w.minima[at]
-            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])]))
+            is_hot = _among(short_keys(least, parts), hot)
+            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | is_hot[1:]]))
             first, last = at[cut], at[np.append(cut[1:], len(at)) - 1]
             rows, offsets = w.place(first)
             refs = zip(uids[rows].tolist(), offsets.tolist(), strict=True)
-            for a, b, m, ref in zip(first.tolist(), (last + length).tolist(), least[cut].view(np.int64).tolist(), refs, strict=True):
-                folded.setdefault((m, w.text[a:b]), []).append(ref)
+            for a, b, m, h, ref in zip(first.tolist(), (last + length).tolist(), least[cut].view(np.int64).tolist(), is_hot[cut].tolist(), refs, strict=True):
+                folded.setdefault((m, w.text[a:b], h), []).append(ref)
         chunk = docs.column("__chunk")[0].as_py()
         return pa.table([
-            pa.array([m for m, _ in folded], pa.int64()), pa.array([c for _, c in folded], pa.binary()), pa.array([chunk] * len(folded), pa.int64()),
-            pa.array([struct.pack(f"<{2 * len(r)}q", *chain.from_iterable(r)) for r in folded.values()], pa.binary()),
+            pa.array([m for m, _, _ in folded], pa.int64()), pa.array([c for _, c, _ in folded], pa.binary()), pa.array([chunk] * len(folded), pa.int64()),
+            pa.array([struct.pack(f"<{2 * len(r)}q", *chain.from_iterable(r)) for r in folded.values()], pa.binary()), pa.array([h for _, _, h in folded], pa.bool_()),
         ], schema=_CONTEXT)
 
     return run
@@ -323,7 +342,7 @@ def suffix_order(data: np.ndarray, included: np.ndarray, depth: int) -> np.ndarr
         bytes_before = data[before]
         order = np.argsort(bytes_before, kind="stable")
         before, bytes_before = before[order], bytes_before[order]
-        for byte in np.unique(bytes_before).tolist():
+        for byte in np.flatnonzero(np.bincount(bytes_before, minlength=256)).tolist():
             a, b = np.searchsorted(bytes_before, [byte, byte + 1])
             induced[byte].append(before[a:b])
     return np.concatenate(buckets) if buckets else np.empty(0, np.int64)
@@ -480,22 +499,36 @@ def _stage(df: DataFrame) -> tuple[DataFrame, int]:
     return staged, max(4 * buckets, staged.count() // 4096)
 
 
-def _spans(staged: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
-    docs = staged.select("__chunk", "__uid", "__text")
-    cogroup = lambda flags, fn, schema: docs.groupBy("__chunk").cogroup(flags.groupBy("chunk")).applyInArrow(fn, schema)
-    blob, flag = "part long, chunk long, keys binary, twice binary", "chunk long, kind int, part long, bits binary"
-    anchors = materialize(docs.groupBy("__chunk").applyInArrow(_anchor_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(0), flag), "sa-anchors")
-    windows = materialize(cogroup(anchors, _window_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(1), flag), "sa-windows")
-    contexts = cogroup(anchors.union(windows), _context_pass(length, gram, parts), "anchor long, context binary, chunk long, refs binary")
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "context")
-    return materialize(dealt.mapInArrow(_verify(length), "__chunk long, refs binary, windows long"), "sa-spans")
+def _hot_spans(contexts: DataFrame) -> DataFrame:
+    """Spans of hot windows, each a context of its own: those that their chunk holds twice, and those with an equal one elsewhere."""
+    here = F.length("refs") / 16
+    hot = contexts.filter("hot").withColumn("n", here.cast("long"))
+    settled, asking = hot.filter("n > 1").select("chunk", "refs"), hot.filter("n = 1")
+    equal = hot.groupBy("context").agg(F.sum("n").alias("__all")).filter("__all > 1")
+    answered = asking.join(equal, "context").select("chunk", "refs")
+    return settled.union(answered).select(F.col("chunk").alias("__chunk"), "refs", F.lit(1).cast("long").alias("windows"))
 
 
-def repeat_digests(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _spans(staged: DataFrame, parts: int, length: int, gram: int, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+    docs = staged.select("__chunk", "__uid", "__text")
+    cogroup = lambda flags, fn, schema: docs.groupBy("__chunk").cogroup(flags.groupBy("chunk")).applyInArrow(fn, schema)
+    blob, flag = "part long, chunk long, keys binary, twice binary", "chunk long, kind int, part long, bits binary, hot binary"
+    anchors = materialize(docs.groupBy("__chunk").applyInArrow(_anchor_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(0, hot_chunks), flag), "sa-anchors")
+    windows = materialize(cogroup(anchors, _window_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(1, hot_chunks), flag), "sa-windows")
+    contexts = cogroup(anchors.union(windows), _context_pass(length, gram, parts), "anchor long, context binary, chunk long, refs binary, hot boolean")
+    some_hot = bool(anchors.filter("hot is not null").limit(1).count())
+    if some_hot:
+        contexts = materialize(contexts, "sa-contexts")
+    dealt = (contexts.filter("not hot") if some_hot else contexts).drop("hot").repartition("anchor").sortWithinPartitions("anchor", "context")
+    spans = dealt.mapInArrow(_verify(length), "__chunk long, refs binary, windows long")
+    return materialize(spans.union(_hot_spans(contexts)) if some_hot else spans, "sa-spans")
+
+
+def repeat_digests(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = HOT_CHUNKS) -> DataFrame:
     """One row for each row of df: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256."""
     bounded_batches(df.sparkSession)
     staged, parts = _stage(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text")))
-    spans = _spans(staged, parts, length, gram)
+    spans = _spans(staged, parts, length, gram, hot_chunks)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def each(docs: pa.Table, runs: list) -> pa.Table:

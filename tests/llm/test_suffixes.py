@@ -45,6 +45,17 @@ def test_random_texts(spark, seed):
     assert shape(X.repeat_digests(df, length=50, gram=20)) == brute(rows, 50)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors(spark, hot, monkeypatch):
+    """Anchors in more than `hot` chunks take the way that keeps their windows in place."""
+    monkeypatch.setattr(X, "CHUNK_BITS", 2)
+    r = random.Random(hot)
+    common = "".join(r.choice("abcdefgh") for _ in range(90))
+    rows = [(i, "".join(r.choice("abcdefgh") for _ in range(r.randrange(5, 80))) + (common if i % 3 else common[:70]) + "".join(r.choice("ab") for _ in range(40))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert shape(X.repeat_digests(df, length=50, gram=20, hot_chunks=hot)) == brute(rows, 50)
+
+
 def test_one_document_repeats_itself(spark):
     rows = [(1, "x" * 1000), (2, "0123456789" * 100), (3, "".join(chr(97 + i * i % 26) + str(i) for i in range(400)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
