@@ -248,7 +248,8 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     known = materialize(known, "nd-known")
     mixed = known.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
     mixed = mixed.filter("lo <> hi").groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
-    counted = known.join(mixed.select("bucket"), "bucket").groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    # counted before the join: a large bucket is a row a label and task by then
+    counted = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).join(mixed.select("bucket"), "bucket")
     main = counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
     plan = known.join(main, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     plan = plan.withColumn("probe", F.col("label") != F.col("main")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
