@@ -169,8 +169,9 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
-    """Sorted distinct keys."""
-    return np.unique(keys)
+    """Sorted distinct keys, by sorting: numpy's own unique hashes, which takes several times as long."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def _at_most_twice(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
