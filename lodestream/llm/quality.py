@@ -15,6 +15,8 @@ other columns are not read (scores) or pass through (drop_rejected).
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -42,9 +44,44 @@ LABELLERS = (
 #: only. Estimates are drawn half-way to it, so that a rare kind isn't explained away as good text.
 FLAGGED = (0.3, 0.002)
 _SYMBOLS = np.zeros(256, bool)
+_LETTERS = bytes([*range(65, 91), *range(97, 123)])
+_KINDS = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else b for b in range(256))
+_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
 _SYMBOLS[[ord(c) for c in "!#$%&*+/<=>@\\^_`{|}~[]"]] = True
 
 
+def _case_shape(word: str) -> str | None:
+    """Shape of a word of letters in one of the usual cases."""
+    if word.islower():
+        return "x" if len(word) == 1 else "x+"
+    if word.isupper():
+        return "X" if len(word) == 1 else "X+"
+    if word[0].isupper() and word[1:].islower():
+        return "Xx" if len(word) == 2 else "Xx+"
+    return None
+
+
+def token_shape(token: str) -> str:
+    """Kinds of a token's first 64 characters (X and x for letters, 9 for digits, others as they are), runs as `kind+`; the
+    first 12 characters of that."""
+    if token.isascii():
+        kinds = token[:64].encode().translate(_KINDS)
+        return _RUNS.sub(rb"\1+", kinds)[:12].decode()
+    if len(token) <= 64:
+        word, rest = (token, "") if token.isalpha() else (token[:-1], token[-1])
+        if word.isalpha() and (shape := _case_shape(word)):
+            return shape + ("9" if rest.isdigit() else rest)
+    last, shape = "", []
+    for c in token[:64]:
+        kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        if kind != last:
+            shape.append(kind)
+        elif shape[-1] != "+":
+            shape.append("+")
+        last = kind
+    return "".join(shape[:12])
+
+
 class _Tokens(dict):
     """Row of a token in a table of word hashes, shape hashes and flags; the memory is emptied when full."""
 
@@ -52,23 +89,26 @@ class _Tokens(dict):
 
     def __init__(self):
         self.words, self.shapes, self.info = (np.empty(self.ROOM, np.int64) for _ in range(3))
+        self.of_shape: dict[str, int] = {}
 
     def __missing__(self, token: str) -> int:
-        letters = sum(map(str.isalpha, token))
-        last, shape = "", []
-        for c in token[:64]:
-            kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
-            if kind != last:
-                shape.append(kind)
-            elif shape[-1] != "+":
-                shape.append("+")
-            last = kind
         at = self[token] = len(self)
-        self.words[at] = xxhash.xxh3_64_intdigest(token.strip(".,;:'\"()-!?").lower()) >> 1
-        self.shapes[at] = xxhash.xxh3_64_intdigest("".join(shape[:12])) & 0xFFFFFFFF
-        bare = not letters and not any(map(str.isalnum, token))
-        marked = len(token) - len(token.rstrip("!#$%&*?@~^")) >= 2
-        self.info[at] = min(letters, 255) | 256 * bare | 512 * marked
+        if token.isalpha():
+            letters, shape, word, flags = len(token), (token.isascii() and _case_shape(token[:64])) or token_shape(token), token.lower(), 0
+        else:
+            letters = len(token) - len(token.encode().translate(None, _LETTERS)) if token.isascii() else sum(map(str.isalpha, token))
+            shape, word = token_shape(token), token.strip(".,;:'\"()-!?").lower()
+            bare = not letters and not any(map(str.isalnum, token))
+            marked = len(token) - len(token.rstrip("!#$%&*?@~^")) >= 2
+            flags = 256 * bare | 512 * marked
+        code = self.of_shape.get(shape)
+        if code is None:
+            if len(self.of_shape) >= self.ROOM:
+                self.of_shape.clear()
+            code = self.of_shape[shape] = xxhash.xxh3_64_intdigest(shape) & 0xFFFFFFFF
+        self.words[at] = xxhash.xxh3_64_intdigest(word) >> 1
+        self.shapes[at] = code
+        self.info[at] = min(letters, 255) | flags
         return at
 
     def rows(self, tokens: list[str]) -> np.ndarray:
