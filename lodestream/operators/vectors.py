@@ -1,8 +1,8 @@
 """Vector collections: exact and approximate cosine top-k, lookups, deletes, the latest row of each key.
 
-A collection has id (LONG), vector_id (STRING), embedding (ARRAY<FLOAT>), metadata. Top-k never shuffles the collection:
-one query is a column expression under TakeOrderedAndProject; a set of queries is scored block by block inside the tasks,
-and at most k rows a query and task travel.
+A collection has id (LONG), vector_id (STRING), embedding (ARRAY<FLOAT>), metadata. Top-k never shuffles the collection
+row by row: one query is a column expression under TakeOrderedAndProject; a list of queries is a matrix in the tasks; a table
+of queries meets the vectors in blocks. At most k rows a query and task travel.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from ..functions.vectors import cosine_similarity, vector_literal
 
 #: Queries scored together, and vectors of an Arrow batch scored together.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Blocks of queries whose best rows a task holds; beyond it they are handed on.
+HELD_BLOCKS = 256
 
 
 def search_vectors(df: DataFrame, query: Sequence[float], top_k: int = 10, key: str = "vector_id", vector: str = "embedding") -> DataFrame:
@@ -42,55 +44,109 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+class _Best:
+    """The best rows so far of a block of queries; all that tie with the last place stay, so that the key can decide."""
+
+    def __init__(self, ids: list, block: np.ndarray, top_k: int):
+        self.ids, self.block, self.top_k = ids, block, top_k
+        self.scores = np.full((len(ids), 0), -2.0)
+        self.keys: np.ndarray = np.empty((len(ids), 0), object)
+
+    def add(self, keys: list, matrix: np.ndarray) -> None:
+        if not len(keys):
+            return
+        if matrix.shape[1] != self.block.shape[1]:
+            raise ValueError("vectors and queries of unequal length")
+        scores = np.concatenate([self.scores, self.block @ _unit(matrix).T], 1)
+        every = np.concatenate([self.keys, np.broadcast_to(np.array(keys, object), (len(self.ids), len(keys)))], 1)
+        if scores.shape[1] > self.top_k:
+            cut = -np.partition(-scores, self.top_k - 1, axis=1)[:, self.top_k - 1 : self.top_k]
+            order = np.argsort(-scores, axis=1, kind="stable")[:, : int((scores >= cut).sum(1).max())]
+            scores, every = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
+        self.scores, self.keys = scores, every
+
+    def rows(self, id_type: pa.DataType, key_type: pa.DataType, key: str) -> pa.RecordBatch:
+        n = self.scores.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(self.ids, object), n).tolist(), id_type), pa.array(self.keys.ravel().tolist(), key_type), pa.array(self.scores.ravel())], names=["query_id", key, "score"])
+
+
+def _ranked(found: DataFrame, key: str, top_k: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+
+
 def search_batch(df: DataFrame, query_ids: Sequence, queries: Sequence[Sequence[float]], top_k: int = 10, key: str = "vector_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score, rank from 1) of the top_k rows for each of a list of queries; ties by key.
 
-    A block of queries is a matrix of bounded size; each block is one scan of (key, vector), which finds top_k rows a query
-    inside every task before anything is exchanged."""
+    For the queries of a call, which the driver holds. A block of them is a matrix of bounded size and one scan of (key,
+    vector), which finds top_k rows a query inside every task before anything is exchanged."""
     if not len(query_ids):
         kinds = {"query_id": "string", key: df.schema[key].dataType.simpleString(), "score": "double", "rank": "int"}
         return df.sparkSession.createDataFrame([], ", ".join(f"{n} {k}" for n, k in kinds.items()))
     if len({len(q) for q in queries}) > 1:
         raise ValueError("query vectors of unequal length")
-    key_type = df.schema[key].dataType
     id_type = T.StringType() if isinstance(query_ids[0], str) else T.LongType()
-    schema = T.StructType([T.StructField("query_id", id_type), T.StructField(key, key_type), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", id_type), T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
     found = None
     for at in range(0, len(query_ids), QUERY_BLOCK):
         ids = list(query_ids[at : at + QUERY_BLOCK])
         block = _unit(np.array(queries[at : at + QUERY_BLOCK], np.float64))
 
         def score(batches, ids=ids, block=block):
-            best_scores = np.full((len(ids), 0), -2.0)
-            best_keys: np.ndarray = np.empty((len(ids), 0), object)
-            kind = None
+            best, kind = _Best(ids, block, top_k), None
             for b in batches:
                 kind = b.column(0).type
                 for start in range(0, b.num_rows, VECTOR_BLOCK):
                     part = b.slice(start, VECTOR_BLOCK)
                     rows, matrix = _matrix(part.column(1))
-                    if not len(rows):
-                        continue
-                    if matrix.shape[1] != block.shape[1]:
-                        raise ValueError("vectors and queries of unequal length")
-                    keys = np.array(part.column(0).to_pylist(), object)[rows]
-                    scores = np.concatenate([best_scores, block @ _unit(matrix).T], 1)
-                    every = np.concatenate([best_keys, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
-                    if scores.shape[1] > top_k:
-                        # rows that tie with the last place stay, so that the key decides between them
-                        cut = -np.partition(-scores, top_k - 1, axis=1)[:, top_k - 1 : top_k]
-                        width = int((scores >= cut).sum(1).max())
-                        order = np.argsort(-scores, axis=1, kind="stable")[:, :width]
-                        scores, every = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
-                    best_scores, best_keys = scores, every
-            if kind is not None and best_scores.shape[1]:
-                n = best_scores.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, object), n).tolist()), pa.array(best_keys.ravel().tolist(), kind), pa.array(best_scores.ravel())], names=["query_id", key, "score"])
+                    best.add(part.column(0).take(pa.array(rows, pa.int64())).to_pylist(), matrix)
+            if kind is not None:
+                yield best.rows(pa.string() if isinstance(ids[0], str) else pa.int64(), kind, key)
 
         part = df.select(key, vector).mapInArrow(score, schema)
         found = part if found is None else found.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+    return _ranked(found, key, top_k)
+
+
+def _blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFrame:
+    """Rows of df packed into blocks: keys, their matrix as bytes in double precision, its width."""
+    schema = T.StructType([T.StructField(f"{prefix}_keys", T.ArrayType(df.schema[key].dataType)), T.StructField(f"{prefix}_data", T.BinaryType()), T.StructField(f"{prefix}_width", T.IntegerType())])
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, rows):
+                part = b.slice(start, rows)
+                at, matrix = _matrix(part.column(1))
+                if len(at):
+                    keys = part.column(0).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([_unit(matrix).astype(np.float64).tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())], names=schema.names)
+
+    return df.select(key, vector).mapInArrow(run, schema)
+
+
+def search_table(df: DataFrame, queries: DataFrame, top_k: int = 10, query_key: str = "query_id", key: str = "vector_id", vector: str = "embedding") -> DataFrame:
+    """The same for a table of queries of any size, none of which reaches the driver: blocks of queries meet blocks of vectors,
+    and each task keeps the best top_k rows of the queries it has met. query_key: the queries' id column."""
+    pairs = _blocks(df, key, vector, VECTOR_BLOCK, "v").join(_blocks(queries, query_key, vector, QUERY_BLOCK, "q"), how="cross")
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        best: dict = {}
+        kinds = None
+        for b in batches:
+            kinds = b.column("q_keys").type.value_type, b.column("v_keys").type.value_type
+            for i in range(b.num_rows):
+                ids, keys = b.column("q_keys")[i].as_py(), b.column("v_keys")[i].as_py()
+                matrix = lambda name, n: np.frombuffer(b.column(f"{name}_data")[i].as_buffer(), np.float64).reshape(n, -1)  # noqa: B023, E731
+                if ids[0] not in best:
+                    if len(best) >= HELD_BLOCKS:
+                        yield from (x.rows(*kinds, key) for x in best.values())
+                        best.clear()
+                    best[ids[0]] = _Best(ids, matrix("q", len(ids)).copy(), top_k)
+                best[ids[0]].add(keys, matrix("v", len(keys)))
+        yield from (x.rows(*kinds, key) for x in best.values())
+
+    return _ranked(pairs.mapInArrow(score, schema), key, top_k)
 
 
 def search_nested(df: DataFrame, query_ids: Sequence, queries: Sequence[Sequence[float]], top_k: int = 5, **columns) -> DataFrame:
@@ -144,7 +200,7 @@ def collection_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("entities"), F.min(F.size(vector)).alias("min_dimension"), F.max(F.size(vector)).alias("max_dimension"))
 
 
-def fit_lists(df: DataFrame, n_lists: int = 1024, sample_rows: int = 65_536, rounds: int = 12, vector: str = "embedding", seed: int = 7) -> np.ndarray:
+def fit_lists(df: DataFrame, n_lists: int = 1024, sample_rows: int = 16_384, rounds: int = 12, vector: str = "embedding", seed: int = 7) -> np.ndarray:
     """Centroids of an inverted-file index by spherical k-means on at most sample_rows vectors, chosen by a hash."""
     rows = df.select(vector).filter(F.size(vector) > 0).orderBy(F.xxhash64(vector, F.lit(seed))).limit(sample_rows).collect()
     if not rows:

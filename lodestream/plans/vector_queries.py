@@ -29,9 +29,9 @@ def vec_topk(spark, sf_dir):
 
 
 def vec_topk_batched(spark, sf_dir):
-    """The query set is stated; it is scored block by block against all rows."""
-    queries = _vectors(spark, sf_dir).filter(F.col("vec_id") % EVERY == 0).select("vec_id", "embedding").orderBy("vec_id").collect()
-    found = V.search_batch(_vectors(spark, sf_dir), [r[0] for r in queries], [r[1] for r in queries], 10, "vec_id")
+    """The query set is stated; it meets all rows block by block."""
+    queries = _vectors(spark, sf_dir).filter(F.col("vec_id") % EVERY == 0)
+    found = V.search_table(_vectors(spark, sf_dir), queries, 10, "vec_id", "vec_id")
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 

@@ -103,6 +103,10 @@ def test_batched_search_equals_single(spark, sf):
     for q in queries:
         one = [r.vec_id for r in V.search_vectors(df, q.embedding, 5, "vec_id").collect()]
         assert [r.vec_id for r in sorted(batch, key=lambda r: r["rank"]) if r.query_id == q.vec_id] == one
+    table = V.search_table(df, df.filter("vec_id < 7"), 5, "vec_id", "vec_id").collect()
+    rounded = lambda rows: sorted((r.query_id, r.vec_id, round(r.score, 9), r["rank"]) for r in rows)
+    assert rounded(table) == rounded(batch)
+    assert V.search_table(df, df.limit(0), 5, "vec_id", "vec_id").collect() == []
 
 
 def test_ties_go_by_key(spark):
