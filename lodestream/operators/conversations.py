@@ -36,7 +36,7 @@ def gap_us(later: Column, earlier: Column) -> Column:
 def with_neighbours(df: DataFrame, columns: list[str], cell: int = CELL) -> DataFrame:
     """df with structs before2, before, after: the given columns of the neighbours in id order inside the group."""
     row = F.struct(*columns)
-    cells = df.withColumn("__cell", F.floor(F.col("id") / cell).cast("long"))
+    cells = df.withColumn("__cell", F.expr(f"(id - pmod(id, {cell}L)) div {cell}L"))
     inner = W.partitionBy("group_id", "__cell").orderBy("id")
     local = cells.withColumns({"__b2": F.lag(row, 2).over(inner), "__b1": F.lag(row, 1).over(inner), "__a1": F.lead(row, 1).over(inner), "__at": F.row_number().over(inner)})
     # one row a cell: its first and its last two messages

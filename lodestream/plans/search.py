@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.vectors import search_vectors
+from ..sources.scratch import materialize
 
 
 def search_chunks(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, query: Sequence[float], top_k: int = 10) -> DataFrame:
     """score, chunk, document (structs; document may be null), best first. Hits whose chunk is gone are skipped.
 
-    The hits are top_k rows, so they are broadcast to the scan of chunks, and the chunks found to the scan of documents: no
-    table is shuffled, and with an id filter pushed down by the broadcast keys few row groups match."""
+    Hits and the chunks found are at most top_k rows each. They are written, so that the vectors are scanned once, and
+    broadcast to the scans of chunks and documents: no table is shuffled."""
     hits = search_vectors(vectors, query, top_k).select(F.col("vector_id").alias("__hit"), "score")
-    found = chunks.join(F.broadcast(hits), chunks["_id"] == F.col("__hit")).select("score", "__hit", F.struct(*[chunks[c] for c in chunks.columns]).alias("chunk"))
-    parents = documents.join(F.broadcast(found.select(F.col("chunk.parent_id").alias("__p")).distinct()), documents["_id"] == F.col("__p"), "left_semi")
+    hits = F.broadcast(materialize(hits, "hits"))
+    found = materialize(chunks.join(hits, chunks["_id"] == F.col("__hit")).select("score", "__hit", F.struct(*[chunks[c] for c in chunks.columns]).alias("chunk")), "found")
+    wanted = F.broadcast(found.select(F.col("chunk.parent_id").alias("__p")).distinct())
+    parents = documents.join(wanted, documents["_id"] == F.col("__p"), "left_semi")
     named = parents.select(F.col("_id").alias("__doc"), F.struct(*documents.columns).alias("document"))
     joined = found.join(named, F.col("chunk.parent_id") == F.col("__doc"), "left")
     return joined.orderBy(F.desc("score"), "__hit").select("score", "chunk", "document")
