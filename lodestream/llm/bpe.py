@@ -30,6 +30,20 @@ LONG = 256
 #: Words whose ids a Python worker remembers; the memory is emptied when full.
 CACHE_WORDS = 300_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Letters and numbers of the regex library that came after Unicode 16, which the vocabulary's library follows.
+LATE_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATE_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+_ranges = lambda pairs: "".join(f"{chr(a)}-{chr(b)}" for a, b in pairs)
+_LATE = re.compile(f"[{_ranges(LATE_LETTERS + LATE_NUMBERS)}]")
+_LETTER, _NUMBER = f"[\\p{{L}}--[{_ranges(LATE_LETTERS)}]]", f"[\\p{{N}}--[{_ranges(LATE_NUMBERS)}]]"
+#: The same split where a text has such characters.
+LATE_SPLIT = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{_LETTER}+| ?{_NUMBER}+| ?(?:(?!{_LETTER}|{_NUMBER})\S)+|\s+(?!\S)|\s+"
 #: The same split for texts of these characters alone, where the faster standard library agrees with \p classes.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ſ‘-„–—]")
 _PLAIN_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -64,7 +78,7 @@ class RankArrayBPE:
             self.ranks.setdefault(as_bytes(left) + as_bytes(right), rank)
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in special.items()}
         self.special = special
-        self.split = regex.compile(SPLIT)
+        self.split, self.late_split = regex.compile(SPLIT), regex.compile(LATE_SPLIT)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -118,7 +132,9 @@ class RankArrayBPE:
         return tuple(out)
 
     def words(self, text: str) -> list[str]:
-        return self.split.findall(text) if _PLAIN.search(text) else _PLAIN_SPLIT.findall(text)
+        if not _PLAIN.search(text):
+            return _PLAIN_SPLIT.findall(text)
+        return (self.late_split if _LATE.search(text) else self.split).findall(text)
 
     def _ordinary(self, text: str) -> list[int]:
         cache, words = self.cache, self.words(text)

@@ -48,6 +48,16 @@ def test_random_texts(library):
         assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_is_split_like_the_library(library):
+    """Behind a letter, a number and a sign, in blocks."""
+    codec = bpe.codec(bpe.default_vocabulary())
+    points = [c for c in range(1, 0x33480) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"a{chr(c)} 1{chr(c)} #{chr(c)}" for c in points[at : at + 4096])
+        words = [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert codec.words(text) == words
+
+
 def test_long_words_merge_alike():
     codec, r = bpe.codec(bpe.default_vocabulary()), random.Random(9)
     for n in (3, 40, 200, 255):
