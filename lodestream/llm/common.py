@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,47 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Lists of the paths given out inside scratch_made.
+_recording: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recording:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_made():
+    """The paths of tables written inside, for a caller that knows when nothing reads them any more."""
+    _recording.append(made := [])
+    try:
+        yield made
+    finally:
+        _recording[:] = [x for x in _recording if x is not made]
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor costs at most the step that ran on it."""
     path = scratch_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize that nothing reads any more: all that came of them is written. Others are left alone."""
+    for table in tables:
+        if path := getattr(table, "_scratch", None):
+            delete_paths(table.sparkSession, [path])
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:

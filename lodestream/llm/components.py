@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         pulled = labels.join(nearby, labels.node == nearby.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
         ahead = labels.select(F.col("node").alias("__n"), F.col("label").alias("__l"))
         labels_next = pulled.join(ahead, F.col("via") == F.col("__n")).select("node", F.least("via", "__l").alias("label"), (F.least("via", "__l") < F.col("old")).alias("moved"))
-        labels_next = materialize(labels_next, "cc-labels")
+        done, labels_next = labels, materialize(labels_next, "cc-labels")
+        discard(done)
         labels = labels_next.select("node", "label")
+        labels._scratch = labels_next._scratch
         if not labels_next.filter("moved").limit(1).count():
+            discard(both)
             return labels

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, materialize, plain_names
+from .common import ASCII_LOWER, discard, materialize, plain_names
 
 #: Bytes of text that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 16 << 20
@@ -126,23 +126,24 @@ def _merge(entries: DataFrame, by: list[str], text_col: str, members: bool, lowe
     return ordered.mapInArrow(_merger(by, text_col, members, lower, _arrow(schema)), schema)
 
 
-def compact(entries: DataFrame, text_col: str, members: bool, lower: bool, hot_entries: int) -> DataFrame:
-    """Entries (digest, order, uid, text, ...) with the uid of the entry that wins their text, over all runs."""
+def compact(entries: DataFrame, text_col: str, members: bool, lower: bool, hot_entries: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Entries (digest, order, uid, text, ...) with the uid of the entry that wins their text, over all runs; and the tables
+    to discard once that is written."""
     counts = entries.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"))
     hot = materialize(counts.filter(F.col("__n") > hot_entries), "lsm-hot")
     if not hot.limit(1).count():
-        return _merge(entries, ["__digest"], text_col, members, lower)
+        return _merge(entries, ["__digest"], text_col, members, lower), [hot]
     marked = entries.join(hot, "__digest", "left").select(*entries.columns, "__n")
     salted = marked.filter("__n is not null").withColumn("__salt", F.pmod(F.xxhash64("__uid"), F.ceil(F.col("__n") / hot_entries))).drop("__n")
     first = materialize(_merge(salted, ["__digest", "__salt"], text_col, members, lower), "lsm-level")
     winners = first.filter("__winner = __uid").drop("__winner")
     second = _merge(marked.filter("__n is null").drop("__n").unionByName(winners), ["__digest"], text_col, members, lower)
     if not members:
-        return second
+        return second, [hot, first]
     second = materialize(second, "lsm-merged")
     ends = second.select(F.col("__uid").alias("__part"), F.col("__winner").alias("__end"))
     rest = first.filter("__winner <> __uid").join(ends, F.col("__winner") == F.col("__part")).withColumn("__winner", F.col("__end")).select(*second.columns)
-    return second.unionByName(rest)
+    return second.unionByName(rest), [hot, first, second]
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -177,8 +178,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows = df.select(F.col(id_col).cast("long").alias("__key"), F.col(text_col).alias("__text"))
     runs = flush_runs(rows, "__key", "__text", keep, True, memtable_bytes, digest_bytes, lower)
     entries = runs.select("__digest", "__order", "__uid", "__key", "__text", F.size("__ids").cast("long").alias("__size"))
-    merged = compact(entries, "__text", True, lower, hot_entries).select("__uid", "__winner", "__size", F.when(F.col("__uid") == F.col("__winner"), F.col("__key")).alias("__key"), F.sha2("__text", 256).alias("__sha"))
+    merged, used = compact(entries, "__text", True, lower, hot_entries)
+    merged = merged.select("__uid", "__winner", "__size", F.when(F.col("__uid") == F.col("__winner"), F.col("__key")).alias("__key"), F.sha2("__text", 256).alias("__sha"))
     merged = materialize(merged, "lsm-merged")
+    discard(*used)
     # an aggregate, so that a hot text's entries are combined where they lie
     groups = merged.groupBy("__winner").agg(F.sum("__size").alias("group_size"), F.max("__key").alias("keep_id"), F.max("__sha").alias("text_sha256"))
     placed = merged.select("__uid", "__winner").join(groups, "__winner")
@@ -190,4 +193,4 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of df that stay, with all their columns, whatever their names; text moves through one shuffle."""
     rows, name = plain_names(df)
     runs = flush_runs(rows.withColumn("__key", F.col(name(id_col)).cast("long")), "__key", name(text_col), keep, False, memtable_bytes, 32, lower)
-    return compact(runs, name(text_col), False, lower, hot_entries).select(*rows.columns).toDF(*df.columns)
+    return compact(runs, name(text_col), False, lower, hot_entries)[0].select(*rows.columns).toDF(*df.columns)

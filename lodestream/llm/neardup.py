@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, bounded_batches, materialize, plain_names
+from .common import ASCII_LOWER, bounded_batches, discard, materialize, plain_names
 from .components import connected_components
 
 WORDS = 5
@@ -222,11 +222,12 @@ def _compare_blocks(threshold: int):
     return run
 
 
-def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int) -> tuple[DataFrame, DataFrame]:
-    """Labels (node, label) of the nodes with a confirmed link, and those links."""
+def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Labels (node, label) of the nodes with a confirmed link, and the tables of those links (a, b)."""
     members = nodes.select("node", "n_shingles", F.explode("keys").alias("bucket"))
     buckets = materialize(members.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "nd-buckets")
     members = materialize(members.join(buckets, "bucket").select("bucket", "center", "size", "node", "n_shingles"), "nd-members")
+    discard(buckets)
     of_center = nodes.select(F.col("node").alias("center"), F.col("n_shingles").alias("__n"))
     pairs = members.filter("node <> center").select("node", "center", "n_shingles").distinct().join(of_center, "center")
     pairs = materialize(pairs.filter(100 * F.least("n_shingles", "__n") >= threshold * F.greatest("n_shingles", "__n")).select("node", "center"), "nd-pairs")
@@ -246,6 +247,7 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     # Buckets that still hold several components. Two nodes alone have been compared already.
     known = busy.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("label"))
     known = materialize(known, "nd-known")
+    discard(members, pairs)
     mixed = known.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
     mixed = mixed.filter("lo <> hi").groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
     # counted before the join: a large bucket is a row a label and task by then
@@ -257,10 +259,11 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     rows = spread.join(sets, "node").select("bucket", "block", "node", "label", "probe", (F.col("home") == F.col("block")).alias("here"), "set")
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     second = materialize(dealt.mapInArrow(_compare_blocks(threshold), "a long, b long"), "nd-links")
-    links = first.union(second)
+    discard(known, sets)
     if second.limit(1).count():
-        labels = connected_components(links)
-    return labels, links
+        discard(labels)
+        labels = connected_components(first.union(second))
+    return labels, [first, second]
 
 
 def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,11 +276,13 @@ def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORD
     some = signed.filter("n_shingles > 0")
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nd-classes")
     nodes = materialize(some.select(F.col("uid").alias("node"), "n_shingles", "keys").join(classes.select("node"), "node", "left_semi"), "nd-nodes")
-    labels, _ = find_links(signed, nodes, threshold, words)
+    labels, links = find_links(signed, nodes, threshold, words)
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "least")
     named = materialize(named, "nd-named")
+    discard(classes, nodes, labels, *links)
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     component = materialize(named.join(least, "label").select("d1", "d2", "component_id"), "nd-components")
+    discard(named)
     linked_rows = some.select("doc_id", "n_shingles", "d1", "d2").join(component, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_rows.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

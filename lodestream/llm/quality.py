@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, plain_names
+from .common import bounded_batches, discard, materialize, plain_names
 
 #: Documents the scorer is fitted on, at most.
 TRAIN_ROWS = 6_000
@@ -244,6 +244,7 @@ def train(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
 
     votes = materialize(source.mapInArrow(vote, "doc_id long, pattern int"), "votes")
     counted = {r["pattern"]: r["n"] for r in votes.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 3 ** labellers rows
+    discard(votes)
     posteriors, _ = estimate(counted) if counted else ({}, None)
 
     def features(batches):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, plain_names, scratch_path, shuffle_partitions
+from .common import bounded_batches, discard, materialize, plain_names, scratch_path, shuffle_partitions
 
 LENGTH = 200
 GRAM = 80
@@ -522,7 +522,9 @@ def _spans(staged: DataFrame, parts: int, length: int, gram: int, hot_chunks: in
         contexts = materialize(contexts, "sa-contexts")
     dealt = (contexts.filter("not hot") if some_hot else contexts).drop("hot").repartition("anchor").sortWithinPartitions("anchor", "context")
     spans = dealt.mapInArrow(_verify(length), "__chunk long, refs binary, windows long")
-    return materialize(spans.union(_hot_spans(contexts)) if some_hot else spans, "sa-spans")
+    found = materialize(spans.union(_hot_spans(contexts)) if some_hot else spans, "sa-spans")
+    discard(anchors, windows, contexts)
+    return found
 
 
 def repeat_digests(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = HOT_CHUNKS) -> DataFrame:
