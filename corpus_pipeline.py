@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import exact_dedup, neardup, packing, quality, suffixes
-from lodestream.llm.common import materialize, read_table
+from lodestream.llm.common import delete_paths, discard, materialize, read_table, scratch_made
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; then what it and its predecessor wrote is deleted."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch_made() as made:
+            result = stage(spark, docs, sf_dir)
+        before, docs = docs, materialize(result, name.replace(" ", "-"))
+        delete_paths(spark, made)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
