@@ -9,7 +9,8 @@ Fingerprints keep 8 bits a bin, two hexadecimal digits each; the estimate is cor
 chance. Dictionaries are prefix-closed, so the end of a phrase is searched outwards from the length of the last one.
 
 Neighbours are found without a global sort: ids are cut into ranges of equal counts, each range is sorted in one task, and
-the first document of a range is lent to the range before it.
+the first document of a range is lent to the range before it. An id that fills whole ranges, and the null id, are cut further
+by the hash of the text, so that no id is too common.
 
 Defined cases: a null text counts as empty and has the empty fingerprint, which is like another empty one (1) and unlike
 all others (0); documents are ordered by descending id, null ids last, equal ids by a hash of their text; a single document
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shuffle_partitions
 
 BINS = 128
+#: Cells that a common id's range is cut into, as a power of two.
+CELL_BITS = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: list[np.ndarray] = []
@@ -156,22 +159,25 @@ def _range_number(key, bounds: list[int]):
 def with_next(df: DataFrame) -> DataFrame:
     """Rows (range, lent, key, tie, text) dealt and sorted so that each range's documents stand in descending order and the
     first document of the following range comes last, as a lent row."""
-    parts = 4 * shuffle_partitions(df.sparkSession)
-    cuts = df.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)
-    ranged = df.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(_range_number(F.col("key"), sorted({int(c) for c in cuts}))))
-    # one row a range, whatever the input
-    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("key").alias("top")).collect()}
+    spark = df.sparkSession
+    parts = 4 * shuffle_partitions(spark)
+    found = [int(c) for c in df.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)]
+    common = {a for a, b in zip(found, found[1:], strict=False) if a == b}  # ids that fill a range or more have one of their own
+    number = _range_number(F.col("key"), sorted({*found, *(c + 1 for c in common)}))
+    cut = F.col("key").isNull() | (F.col("key").isin(list(common)) if common else F.lit(False))
+    cell = F.when(cut, F.pmod(F.shiftright("tie", 64 - CELL_BITS) + (1 << (CELL_BITS - 1)), F.lit(1 << CELL_BITS))).otherwise(0)
+    ranged = df.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(number).cast("long") * (1 << CELL_BITS) + cell)
+    # one row a range: some times the partitions, whatever the input
+    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max(F.struct("key", "tie")).alias("top")).collect()}
     order = sorted(tops)
     rows = ranged.withColumn("lent", F.lit(False))
     if not order:
         return rows
     # a range's first document follows the last one of the range above; the topmost follows the lowest
     above = dict(zip(order, order[1:] + order[:1], strict=True))
-    # by place in an array, so that a row's look-up doesn't grow with the number of ranges
-    lenders = {r: F.struct(F.lit(tops[r]).cast("long").alias("top"), F.lit(above[r]).alias("to")) for r in order}
-    nobody = F.lit(None).cast("struct<top: bigint, to: int>")
-    lender = F.array(*[lenders.get(r, nobody) for r in range(-1, order[-1] + 1)])
-    lent = ranged.withColumn("__l", F.get(lender, F.col("range") + 1)).filter(F.col("__l").isNotNull() & F.col("key").eqNullSafe(F.col("__l.top"))).withColumn("range", F.col("__l.to")).drop("__l").withColumn("lent", F.lit(True))
+    lenders = spark.createDataFrame([(r, tops[r]["key"], tops[r]["tie"], above[r]) for r in order], "range long, __top long, __tie long, __to long")
+    lent = ranged.join(F.broadcast(lenders), "range").filter(F.col("key").eqNullSafe(F.col("__top")) & (F.col("tie") == F.col("__tie")))
+    lent = lent.select("key", "text", "tie", F.col("__to").alias("range"), F.lit(True).alias("lent"))
     return rows.unionByName(lent).repartition(parts // 4, "range").sortWithinPartitions("range", "lent", F.desc_nulls_last("key"), F.desc("tie"))
 
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from lodestream.llm import lzprint as Z
 
 from .conftest import ODD_ROWS
@@ -76,6 +78,17 @@ def test_odd_rows(odd, empty, spark):
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
-def test_equal_ids(spark):
-    df = spark.createDataFrame([(5, f"text number {i}") for i in range(300)], "doc_id long, text string").repartition(6)
-    assert Z.edit_fingerprints(df).count() == 300
+def test_common_ids(spark):
+    """A null id and another one that hold a third of the rows each: spread over tasks, and every row has its next one."""
+    rows = [((None, 5, i)[i % 3], f"text number {i} " * 3) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    prepared = Z.with_next(df.selectExpr("doc_id as key", "text").withColumn("tie", F.xxhash64("text")))
+    ranges = [r["count"] for r in prepared.filter("not lent").groupBy("range").count().collect()]
+    assert max(ranges) < 200 and sum(ranges) == 900
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    ids = [r.doc_id for r in Z.edit_fingerprints(df).collect()]
+    assert sorted(ids, key=str) == sorted([r[0] for r in order], key=str)
+    ties = {r.text: r.t for r in df.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -ties[r[1]]))
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + order[(i + 1) % 900][1][: len(t) // 3]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    assert sorted(r.edited_sha256 for r in Z.edit_fingerprints(df).collect()) == want
