@@ -41,7 +41,7 @@ from .common import bounded_batches, discard, materialize, plain_names, scratch_
 
 LENGTH = 200
 GRAM = 80
-#: Documents in a chunk, as a power of two; window starts hashed at a time; bytes suffix-sorted at a time.
+#: Documents in a small corpus' chunk, as a power of two; window starts hashed at a time; bytes suffix-sorted at a time.
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
 #: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
 KEPT_BYTES = 8 << 20
@@ -489,15 +489,20 @@ def _kept(text: bytes, runs: list[list[int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def _chunk_bits(count: int) -> int:
+    """Documents in a chunk, as a power of two. A chunk sends a row to each part of the hash range, so with more parts chunks
+    are larger: from 1,024 documents below 4 million to 16,384 at 64 million and above."""
+    return min(CHUNK_BITS + 4, max(CHUNK_BITS, CHUNK_BITS + (count >> 22).bit_length()))
+
+
 def _stage(df: DataFrame) -> tuple[DataFrame, int]:
     """The documents as a table bucketed by chunk in the shared folder, and the number of parts of the hash range."""
-    spark = df.sparkSession
+    spark, count = df.sparkSession, df.count()
     rows = df.withColumn("__uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("__chunk", F.shiftright("__uid", CHUNK_BITS))
+    rows = rows.withColumn("__chunk", F.shiftright("__uid", _chunk_bits(count)))
     buckets, name = shuffle_partitions(spark), f"repeats_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "__chunk").option("path", scratch_path(spark, name)).saveAsTable(name)
-    staged = spark.table(name)
-    return staged, max(4 * buckets, staged.count() // 4096)
+    return spark.table(name), max(2 * buckets, count // 16_384)
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
