@@ -37,6 +37,8 @@ ROWS = 5
 MISS = 1e-6
 #: Nodes of a bucket that are held together when its components are compared.
 BLOCK = 256
+#: Nodes that are compared with one copy of their center.
+SALTED = 512
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -168,16 +170,16 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def _compare_with_center(threshold: int):
-    """Rows arrive by (center, salt), the center's own row first."""
+    """Rows arrive by (center, salts, salt), the center's own row first."""
 
     def run(batches):
         at, center_set = None, None
         for b in batches:
             a, c = [], []
-            for node, center, salt, own, data in zip(*(b.column(n).to_pylist() for n in ("node", "center", "salt", "own", "set")), strict=True):
+            for node, center, salts, salt, own, data in zip(*(b.column(n).to_pylist() for n in ("node", "center", "salts", "salt", "own", "set")), strict=True):
                 if own:
-                    at, center_set = (center, salt), np.frombuffer(data, np.uint64)
-                elif at == (center, salt) and linked(np.frombuffer(data, np.uint64), center_set, threshold):
+                    at, center_set = (center, salts, salt), np.frombuffer(data, np.uint64)
+                elif at == (center, salts, salt) and linked(np.frombuffer(data, np.uint64), center_set, threshold):
                     a.append(node)
                     c.append(center)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
@@ -225,22 +227,24 @@ def _compare_blocks(threshold: int):
 def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int) -> tuple[DataFrame, list[DataFrame]]:
     """Labels (node, label) of the nodes with a confirmed link, and the tables of those links (a, b)."""
     members = nodes.select("node", "n_shingles", F.explode("keys").alias("bucket"))
-    buckets = materialize(members.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "nd-buckets")
-    members = materialize(members.join(buckets, "bucket").select("bucket", "center", "size", "node", "n_shingles"), "nd-members")
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("center"), F.min_by("n_shingles", "node").alias("center_n"), F.count(F.lit(1)).alias("size"))
+    buckets = materialize(buckets.filter("size > 1"), "nd-buckets")
+    members = materialize(members.join(buckets, "bucket").select("bucket", "center", "center_n", "size", "node", "n_shingles"), "nd-members")
     discard(buckets)
-    of_center = nodes.select(F.col("node").alias("center"), F.col("n_shingles").alias("__n"))
-    pairs = members.filter("node <> center").select("node", "center", "n_shingles").distinct().join(of_center, "center")
-    pairs = materialize(pairs.filter(100 * F.least("n_shingles", "__n") >= threshold * F.greatest("n_shingles", "__n")).select("node", "center"), "nd-pairs")
+    # A pair is sized by the largest bucket that it shares; a center's pairs are dealt over as many salts as that needs.
+    pairs = members.filter("node <> center").filter(100 * F.least("n_shingles", "center_n") >= threshold * F.greatest("n_shingles", "center_n"))
+    pairs = pairs.groupBy("node", "center").agg(F.ceil(F.max("size") / SALTED).cast("int").alias("salts"))
+    pairs = materialize(pairs, "nd-pairs")
 
     busy = members.filter("size > 2")
     wanted = pairs.select("node").union(pairs.select("center")).union(busy.select("node")).distinct()
     texts = signed.select(F.col("uid").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = materialize(texts.mapInArrow(_sets_of(words), "node long, set binary"), "nd-sets")
 
-    salts = pairs.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / 512).cast("int").alias("salts"))
-    center_rows = salts.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("center") == F.col("node")).select("node", "center", "salt", F.lit(True).alias("own"), "set")
-    member_rows = pairs.join(salts, "center").select("node", "center", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")).join(sets, "node").select("node", "center", "salt", F.lit(False).alias("own"), "set")
-    dealt = center_rows.union(member_rows).repartition("center", "salt").sortWithinPartitions("center", "salt", F.desc("own"))
+    centers = pairs.select("center", "salts").distinct().select(F.col("center").alias("node"), "salts", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    center_rows = centers.join(sets, "node").select("node", F.col("node").alias("center"), "salts", "salt", F.lit(True).alias("own"), "set")
+    member_rows = pairs.join(sets, "node").select("node", "center", "salts", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("own"), "set")
+    dealt = center_rows.union(member_rows).repartition("center", "salts", "salt").sortWithinPartitions("center", "salts", "salt", F.desc("own"))
     first = materialize(dealt.mapInArrow(_compare_with_center(threshold), "a long, b long"), "nd-links")
     labels = connected_components(first)
 
