@@ -5,8 +5,8 @@ all vote patterns of the corpus (at most 3 ** labellers rows, whatever the corpu
 each pattern's posterior, without true labels. The posteriors of a bounded sample of documents then train a logistic
 scorer on hashed features of token shapes and words, which scores every document.
 
-Statistics cover all documents; only the scorer is fitted on a sample, of TRAIN_ROWS documents chosen by a hash of their
-id. Labels of people are not used, so a table of them measures held-out accuracy.
+Statistics cover all documents; only the scorer is fitted on a sample, of at most TRAIN_ROWS documents chosen by a hash of
+their id and text. Labels of people are not used, so a table of them measures held-out accuracy.
 
 Defined cases: null and empty texts get no votes and are scored by the scorer's constant; ids may be null or
 repeat; with no documents the result is empty; where the sample holds one class only, the scorer still gives the prior;
@@ -252,8 +252,11 @@ def train(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", t
             made = [analyse(t or "", True) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vote_pattern(m[0]) for m in made], pa.int32()), pa.array([m[1].astype(np.int32).tobytes() for m in made], pa.binary()), pa.array([m[2].astype(np.float32).tobytes() for m in made], pa.binary())], names=["doc_id", "pattern", "keys", "weights"])
 
-    share = min(1.0, train_rows / max(1, sum(counted.values())))
-    sample = source.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(train_rows)
+    # Rows below a bound on their hash: the same whatever the partitions. Four deviations below train_rows, so that the limit,
+    # which would choose by partition, is a guarantee that doesn't bite.
+    total = sum(counted.values())
+    share = 1.0 if total <= train_rows else max(0.0, train_rows - 4 * train_rows**0.5) / total
+    sample = source.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(train_rows)
     rows = sample.mapInArrow(features, "doc_id long, pattern int, keys binary, weights binary").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["keys"]))
     return posteriors, fit_scorer([(np.frombuffer(r["keys"], np.int32), np.frombuffer(r["weights"], np.float32), posteriors.get(r["pattern"], 0.5)) for r in rows])

@@ -45,3 +45,9 @@ def test_odd_rows(odd, empty):
 def test_drop_agrees_with_scores(documents):
     kept = {r.doc_id for r in Q.score_documents(documents).collect() if r.keep}
     assert {r.doc_id for r in Q.drop_rejected(documents).collect()} == kept
+
+
+def test_the_sample_does_not_depend_on_partitions(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    scores = [{r.doc_id: r.score for r in Q.score_documents(docs.repartition(n), train_rows=300).collect()} for n in (1, 7)]
+    assert scores[0] == scores[1]
