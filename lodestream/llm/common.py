@@ -68,7 +68,7 @@ def discard(*tables: DataFrame) -> None:
             delete_paths(table.sparkSession, [path])
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Arrow batches of few rows and bytes: Python workers then hold megabytes even where every text is very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -51,7 +51,7 @@ class _WordHash(dict):
     """64-bit hashes of words; the memory is emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
