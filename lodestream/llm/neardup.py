@@ -256,14 +256,15 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     mixed = mixed.filter("lo <> hi").groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
     # counted before the join: a large bucket is a row a label and task by then
     counted = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).join(mixed.select("bucket"), "bucket")
-    main = counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
+    # written, so that the join below has plain exchanges on both sides and a large bucket's can be split
+    main = materialize(counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main")), "nd-main")
     plan = known.join(main, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     plan = plan.withColumn("probe", F.col("label") != F.col("main")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = plan.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
     rows = spread.join(sets, "node").select("bucket", "block", "node", "label", "probe", (F.col("home") == F.col("block")).alias("here"), "set")
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
     second = materialize(dealt.mapInArrow(_compare_blocks(threshold), "a long, b long"), "nd-links")
-    discard(known, sets)
+    discard(known, sets, main)
     if second.limit(1).count():
         discard(labels)
         labels = connected_components(first.union(second))
