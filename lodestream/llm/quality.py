@@ -6,7 +6,7 @@ each pattern's posterior, without true labels. The posteriors of a bounded sampl
 scorer on hashed features of token shapes and words, which scores every document.
 
 Statistics cover all documents; only the scorer is fitted on a sample, of at most TRAIN_ROWS documents chosen by a hash of
-their id and text. Labels of people are not used, so a table of them measures held-out accuracy.
+their id and text. Labels of people are not used in fitting, so a table of them measures agreement that was not fitted.
 
 Defined cases: null and empty texts get no votes and are scored by the scorer's constant; ids may be null or
 repeat; with no documents the result is empty; where the sample holds one class only, the scorer still gives the prior;
