@@ -12,10 +12,13 @@ pairs. Texts are read once for signatures and once more, for candidates only, fo
 
 The chance that a pair just at the threshold is no candidate is below MISS; it falls quickly above the threshold.
 
-Defined cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; a text with
-fewer words than a shingle is one shingle; rows with equal ids share a component id and are kept or not together; rows
-with a null id take part, a component of null ids alone has a null id and such rows count as kept where they are their
-class's only representative; an empty table gives an empty result; other columns are not read.
+What is kept is decided by row, not by id: every row has a written unique uid, and of each component one row is kept, that
+with the smallest id (nulls last) and, among rows with that id, the smallest uid.
+
+Defined cases: null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept; a
+text with fewer words than a shingle is one shingle; rows with equal ids are separate rows, linked by their texts alone, so
+each may be kept or not; rows with a null id take part, and a component of null ids alone has a null id and keeps one row;
+an empty table gives an empty result; other columns are not read (near_duplicates) or pass through (drop_near_duplicates).
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, bounded_batches, discard, materialize, plain_names
 from .components import connected_components
@@ -127,22 +131,23 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signer(words: int, bands: int, rows: int):
-    names = ["uid", "doc_id", "text", "n_shingles", "d1", "d2", "keys"]
+    """Rows are doc_id, text and columns that pass through."""
+    names = ["uid", "n_shingles", "d1", "d2", "keys"]
 
     def run(batches):
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            sets = [shingle_set(x or b"", words) for x in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(x or b"", words) for x in b.column("text").cast(pa.binary()).to_pylist()]
             full = [s for s in sets if len(s)]
             made = iter(band_keys(circulant_signatures(full, bands * rows), bands, rows) if full else [])
             digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + b.num_rows), pa.int64()), b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(np.arange(uid, uid + b.num_rows), pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()), pa.array([int.from_bytes(d[8:], "little", signed=True) for d in digests], pa.int64()),
-                pa.array([next(made).tolist() if len(s) else None for s in sets], pa.list_(pa.int64())),
-            ], names=names)
+                pa.array([next(made).tolist() if len(s) else None for s in sets], pa.list_(pa.int64())), *b.columns,
+            ], names=[*names, *b.schema.names])
             uid += b.num_rows
 
     return run
@@ -271,31 +276,39 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     return labels, [first, second]
 
 
-def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
-    bounded_batches(df.sparkSession)
+def _decide(source: DataFrame, threshold: int, words: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """source (doc_id, text and others) as written, with a uid a row, and (uid, doc_id, n_shingles, component_id, kept) of every row."""
+    bounded_batches(source.sparkSession)
     bands = bands_for(threshold, rows)
-    schema = "uid long, doc_id long, text string, n_shingles long, d1 long, d2 long, keys array<long>"
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(source.mapInArrow(_signer(words, bands, rows), schema), "nd-signed")
+    made = T.StructType.fromDDL("uid long, n_shingles long, d1 long, d2 long, keys array<long>")
+    signed = materialize(source.mapInArrow(_signer(words, bands, rows), T.StructType([*made, *source.schema])), "nd-signed")
     some = signed.filter("n_shingles > 0")
-    classes = materialize(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least")), "nd-classes")
+    best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
+    classes = materialize(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min(best).alias("least")), "nd-classes")
     nodes = materialize(some.select(F.col("uid").alias("node"), "n_shingles", "keys").join(classes.select("node"), "node", "left_semi"), "nd-nodes")
     labels, links = find_links(signed, nodes, threshold, words)
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "least")
     named = materialize(named, "nd-named")
     discard(classes, nodes, labels, *links)
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = materialize(named.join(least, "label").select("d1", "d2", "component_id"), "nd-components")
+    least = named.groupBy("label").agg(F.min("least").alias("best")).select("label", F.col("best.doc_id").alias("component_id"), F.col("best.uid").alias("keeper"))
+    component = materialize(named.join(least, "label").select("d1", "d2", "component_id", "keeper"), "nd-components")
     discard(named)
-    linked_rows = some.select("doc_id", "n_shingles", "d1", "d2").join(component, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id")
-    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked_rows.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked_rows = some.select("uid", "doc_id", "n_shingles", "d1", "d2").join(component, ["d1", "d2"]).select("uid", "doc_id", "n_shingles", "component_id", (F.col("uid") == F.col("keeper")).alias("kept"))
+    alone = signed.filter("n_shingles = 0").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return signed, linked_rows.union(alone)
+
+
+def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of df: doc_id, n_shingles, component_id (smallest id reachable), kept (one row of each component)."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _decide(source, threshold, words, rows)[1].drop("uid")
 
 
 def drop_near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay: of each component the rows with its smallest id."""
+    """The rows of df that stay: of each component one row, with its smallest id."""
     rows, name = plain_names(df)
-    found = near_duplicates(rows, threshold, id_col=name(id_col), text_col=name(text_col))
-    dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return rows.join(dropped, F.col(name(id_col)) == F.col("__dropped"), "left_anti").toDF(*df.columns)
+    text = name(text_col)
+    source = rows.select(F.col(name(id_col)).cast("long").alias("doc_id"), F.col(text).alias("text"), *[c for c in rows.columns if c != text])
+    signed, found = _decide(source, threshold, WORDS, ROWS)
+    kept = signed.join(found.filter(~F.col("kept")).select("uid"), "uid", "left_anti")
+    return kept.select(*[F.col("text" if c == text else c) for c in rows.columns]).toDF(*df.columns)

@@ -86,6 +86,40 @@ def test_odd_rows(odd, empty):
     assert N.drop_near_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids_row_by_row(spark):
+    """One row of each component stays, whatever the ids: against brute force on the rows' own numbers."""
+    import random
+
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    fresh = lambda: " ".join(r.choice(vocabulary) for _ in range(80))
+    near = lambda text, own: f"{text} own{own}"
+    a, b, c, d, e = (fresh() for _ in range(5))
+    rows = [
+        (3, a), (5, near(a, 1)), (5, fresh()),  # a repeated id whose second row is clean
+        (7, b), (7, near(b, 2)), (7, b), (9, near(b, 3)),  # the smallest id repeats inside the component
+        (None, c), (4, near(c, 4)), (None, near(c, 5)),  # null ids linked to a document
+        *[(None, near(d, n)) for n in range(40)], (None, d),  # null ids alone
+        (None, None), (None, ""), (6, None), (6, ""), (6, e), (None, e), (None, fresh()),
+    ]
+    root = brute([(n, t) for n, (_, t) in enumerate(rows)], 80)
+    component = {n: least for n, _, least, _ in root}
+    groups = {}
+    for n in range(len(rows)):
+        groups.setdefault(component[n], []).append(n)
+    df = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(5)
+    stays = [x.row for x in N.drop_near_duplicates(df).collect()]
+    assert len(stays) == len(set(stays)) == len(groups)
+    order = lambda n: (rows[n][0] is None, rows[n][0] or 0)
+    for members in groups.values():
+        (one,) = set(members) & set(stays)
+        assert order(one) == min(map(order, members))
+    got = N.near_duplicates(df).collect()
+    least = {n: min((rows[m][0] for m in members if rows[m][0] is not None), default=None) for members in groups.values() for n in members}
+    assert sorted(str((x.doc_id, x.component_id)) for x in got) == sorted(str((rows[n][0], least[n])) for n in range(len(rows)))
+    assert sorted(str((x.doc_id, x.component_id)) for x in got if x.kept) == sorted(str((rows[n][0], least[n])) for n in stays)
+
+
 def test_signature_agrees_with_similarity():
     a = N.shingle_set(" ".join(f"w{i}" for i in range(1000)).encode())
     b = N.shingle_set(" ".join(f"w{i}" for i in range(200, 1200)).encode())
