@@ -239,6 +239,62 @@ def search_lists(indexed: DataFrame, centroids: np.ndarray, query: Sequence[floa
     return search_vectors(indexed.filter(F.col("list_id").isin([int(x) for x in near])), query, top_k, **columns)
 
 
+def _list_blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFrame:
+    """As _blocks, of rows of one list_id each: neighbouring rows of a list share blocks, so sort df by list_id first."""
+    schema = T.StructType([T.StructField("list_id", T.IntegerType()), T.StructField(f"{prefix}_keys", T.ArrayType(df.schema[key].dataType)), T.StructField(f"{prefix}_data", T.BinaryType())])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(2).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(lists)) + 1
+            for first, last in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+                for start in range(first, last, rows):
+                    part = b.slice(start, min(rows, last - start))
+                    at, matrix = _matrix(part.column(1))
+                    if len(at):
+                        keys = part.column(0).take(pa.array(at, pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array([lists[first]], pa.int32()), pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([_unit(matrix).tobytes()], pa.binary())], names=schema.names)
+
+    return df.select(key, vector, "list_id").mapInArrow(run, schema)
+
+
+def probed_lists(queries: DataFrame, centroids: np.ndarray, n_probe: int, query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """A row (query_key, vector, list_id) for each query and each of the lists of its n_probe nearest centroids."""
+    schema = T.StructType([queries.schema[query_key], queries.schema[vector], T.StructField("list_id", T.IntegerType())])
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(start, QUERY_BLOCK)
+                rows, matrix = _matrix(part.column(1))
+                if len(rows) and len(centroids):
+                    near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)
+                    for column in near.T:
+                        yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows, pa.int64())).columns, pa.array(column)], names=schema.names)
+
+    return queries.select(query_key, vector).mapInArrow(run, schema)
+
+
+def search_lists_table(indexed: DataFrame, centroids: np.ndarray, queries: DataFrame, top_k: int = 10, n_probe: int = 16, query_key: str = "query_id", key: str = "vector_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, score, rank from 1) of the top_k rows among the probed lists for each query of a table of any size, none
+    of which reaches the driver: blocks of a list's queries meet blocks of its vectors. Ties by key."""
+    wanted = probed_lists(queries, centroids, n_probe, query_key, vector).repartition("list_id").sortWithinPartitions("list_id")
+    pairs = _list_blocks(indexed, key, vector, VECTOR_BLOCK, "v").join(_list_blocks(wanted, query_key, vector, QUERY_BLOCK, "q"), "list_id")
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField(key, indexed.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+    def score(batches):
+        for b in batches:
+            kinds = b.column("q_keys").type.value_type, b.column("v_keys").type.value_type
+            for i in range(b.num_rows):
+                ids, keys = b.column("q_keys")[i].as_py(), b.column("v_keys")[i].as_py()
+                matrix = lambda name, n: np.frombuffer(b.column(f"{name}_data")[i].as_buffer(), np.float64).reshape(n, -1)  # noqa: B023, E731
+                best = _Best(ids, matrix("q", len(ids)), top_k)
+                best.add(keys, matrix("v", len(keys)))
+                yield best.rows(*kinds, key)
+
+    return _ranked(pairs.mapInArrow(score, schema), key, top_k)
+
+
 def probes_for(indexed: DataFrame, centroids: np.ndarray, query_ids: Sequence, queries: Sequence[Sequence[float]], top_k: int = 10, recall: float = 0.9, key: str = "vector_id", vector: str = "embedding") -> int:
     """The fewest lists to probe so that a sample of queries finds `recall` of its exact top_k; at most QUERY_BLOCK queries.
 

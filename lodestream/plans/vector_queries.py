@@ -12,6 +12,8 @@ from .search import search_chunks
 
 #: Vectors whose id it divides are the queries of a batch.
 EVERY = 50
+#: Vectors, none of the query set, on which the number of probed lists is chosen.
+SAMPLE = 256
 
 
 def _vectors(spark, sf_dir):
@@ -66,15 +68,22 @@ def vec_stats(spark, sf_dir):
 
 
 def vec_ivf_topk(spark, sf_dir):
-    """Approximate top-k: an inverted file fitted on a bounded sample, over all rows; as many lists are probed as a sample of
-    queries needs for a recall of 0.95, and tests measure it on others."""
+    """Approximate top-k for the query set of vec_topk_batched: an inverted file of the operator's number of lists, fitted on a
+    bounded sample, over all rows. As many lists are probed as SAMPLE other vectors, chosen by a hash, need for a recall of 0.95."""
     v = _vectors(spark, sf_dir)
-    centroids = V.fit_lists(v, n_lists=16)
-    indexed = materialize(V.assign_lists(v, centroids), "lists")
-    sample = v.filter(F.col("vec_id") % EVERY == 0).orderBy("vec_id").limit(64).collect()
-    probes = V.probes_for(indexed, centroids, [r["vec_id"] for r in sample], [r["embedding"] for r in sample], 10, 0.95, "vec_id")
-    found = V.search_lists(indexed, centroids, _query(spark, sf_dir), 10, probes, key="vec_id")
-    return found.select("vec_id", F.round("score", 6).alias("score"))
+    centroids = V.fit_lists(v)
+    listed = V.assign_lists(v, centroids).repartitionByRange("list_id", F.xxhash64("vec_id")).sortWithinPartitions("list_id")
+    indexed = materialize(listed, "lists")
+    sample = v.filter(F.col("vec_id") % EVERY != 0).filter("embedding is not null").orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(SAMPLE).collect()
+    probes = V.probes_for(indexed, centroids, [r["vec_id"] for r in sample], [r["embedding"] for r in sample], 10, 0.95, "vec_id") if sample else len(centroids)
+    found = V.search_lists_table(indexed, centroids, v.filter(F.col("vec_id") % EVERY == 0), 10, probes, "vec_id", "vec_id")
+    return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def ivf_recall(spark, sf_dir):
+    """Share of vec_topk_batched's exact rows that vec_ivf_topk finds, over the whole query set."""
+    exact, found = (q(spark, sf_dir).select("query_id", "vec_id") for q in (vec_topk_batched, vec_ivf_topk))
+    return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").agg(F.count("hit") / F.count(F.lit(1))).first()[0]
 
 
 def search_join(spark, sf_dir):

@@ -226,3 +226,30 @@ def test_stream(spark, tmp_path):
 
 def test_rename_does_not_touch_numpy():
     assert np.allclose(V._unit(np.array([[3.0, 4.0], [0.0, 0.0]])), [[0.6, 0.8], [0.0, 0.0]])
+
+
+def test_ivf_query_answers_the_whole_set_with_recall(spark, sf):
+    from lodestream.plans import vector_queries as Q
+
+    exact = Q.vec_topk_batched(spark, sf).collect()
+    score = {(r.query_id, r.vec_id): r.score for r in Q.vec_topk(spark, sf).selectExpr("0L as query_id", "vec_id", "score").collect()}
+    found = Q.vec_ivf_topk(spark, sf).collect()
+    assert {r.query_id for r in found} == {r.query_id for r in exact} and len({r.query_id for r in found}) > 1
+    assert all(r.rank == 1 for r in found if r.query_id == r.vec_id)
+    assert all(r.score == score[0, r.vec_id] for r in found if r.query_id == 0 and (0, r.vec_id) in score)
+    truth = {(r.query_id, r.vec_id) for r in exact}
+    recall = len(truth & {(r.query_id, r.vec_id) for r in found}) / len(truth)
+    assert recall >= 0.9 and abs(recall - Q.ivf_recall(spark, sf)) < 1e-9
+
+
+def test_lists_of_a_table_agree_with_lists_of_a_query(spark):
+    random = np.random.RandomState(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(random.randn(600, 8))] + [(600, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    centroids = V.fit_lists(df, n_lists=20)
+    indexed = V.assign_lists(df, centroids).cache()
+    got = V.search_lists_table(indexed, centroids, df.filter("vec_id % 150 = 0"), 7, 4, "vec_id", "vec_id").collect()
+    for q in (0, 150, 300, 450):
+        want = [r.vec_id for r in V.search_lists(indexed, centroids, rows[q][1], 7, 4, key="vec_id").collect()]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert {r.query_id for r in got} == {0, 150, 300, 450}
