@@ -8,12 +8,15 @@ that combination is removed as often as the counts allow, so the number of steps
 Pieces then take their places by arithmetic: a gapless number within their length leads to a bin and an offset. No task
 holds more than a share of a length's pieces. Pieces of full length are sequences already and are neither counted nor moved.
 
-Defined cases: a null text counts as empty and is the end id alone; rows with equal ids or texts are separate pieces; an
-empty table gives an empty result; other columns are not read.
+Defined cases: a null text counts as empty and is the end id alone; texts of any length are encoded whole, runs of millions
+of equal characters or spaces included; ids may be null, and rows with equal ids or texts are separate pieces; pieces of
+equal length are interchangeable, so a tie goes by a number of the row; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 
@@ -21,10 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_slots, materialize
+from . import bpe
+from .common import bounded_batches, dense_rank_slots, materialize
 
 CAPACITY = 1024
 END_ID = 2
+#: White space in a row from which on the rank array encodes a text: the library's regular expression backtracks over such a
+#: run and gives up on about a million characters.
+LONG_SPACE = 100_000
+_SPACE = re.compile(r"\s+")
 #: Numbers of full-length sequences start here, beyond those of all others.
 FULL = 1 << 62
 
@@ -38,8 +46,15 @@ def default_ranks() -> str:
 _loaded: dict = {}
 
 
-def token_encoder(path: str):
-    """Encoder of the public byte-level vocabulary as ranks; it gives the ids of its tokenizers file, special token included."""
+def has_long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACE.finditer(text))
+
+
+def token_encoder(path: str, vocabulary: str | None = None):
+    """Encoder of the public byte-level vocabulary as ranks; it gives the ids of its tokenizers file, special token included.
+
+    Texts with very long white space go to the rank array of operator 3 with the same vocabulary (its tokenizers file is
+    `vocabulary`), which has the same ids and no regular expression that backtracks."""
     if path not in _loaded:
         import base64
 
@@ -49,13 +64,15 @@ def token_encoder(path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
         encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-        _loaded[path] = lambda text: encoding.encode(text, allowed_special="all")
+        spaced = vocabulary or bpe.default_vocabulary()
+        _loaded[path] = lambda text: bpe.codec(spaced).encode(text) if has_long_space(text) else encoding.encode(text, allowed_special="all")
     return _loaded[path]
 
 
 def cut_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, uid of every piece of every document."""
     path = ranks or default_ranks()
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext

@@ -55,6 +55,12 @@ def test_odd_rows(odd, empty, library):
     assert P.pack_documents(empty).collect() == []
 
 
+def test_runs_of_millions_of_characters(spark, library):
+    texts = [(i, run) for i, run in enumerate(["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "^" * 1_200_000, "\x00" * 2_000_000, "\u2003 " * 600_000, " " * 99_999])]
+    rows = P.pack_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    check(rows, texts, library)
+
+
 def test_fullest_combination_is_exact():
     import itertools
     import random
