@@ -2,8 +2,11 @@
 
 A text is brought to lower-case words with single spaces. A notice that may have k errors is cut into k + 1 pieces; by the
 pigeonhole principle any match with at most k edits holds one of them unchanged, so an automaton over all pieces finds
-every candidate place. The regex library's bounded-error matching then verifies the edits there and gives the span. Base
-phrases are matched exactly, word by word, at all their places.
+every candidate place. The regex library's bounded-error matching then verifies the edits in the window of each candidate
+and gives the span; a window is as long as its notice with all errors, so the search is linear in the text. Edits are counted
+on characters. Of matches of one notice that share a word the one with the fewest edits is reported, the first of equals; so
+every place with at most k edits shares a word with a reported one that has no more. Base phrases are matched exactly, word
+by word, at all their places.
 
 Defined cases: a null text counts as empty and has no words, labels or places and the score 0; texts of any length are
 searched whole; rows are independent, so ties, repeated rows, null ids and empty tables need no rule; other columns are
@@ -12,6 +15,7 @@ not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -45,6 +49,10 @@ NOTICES = (
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Windows whose verification a Python worker remembers; the memory is emptied when full.
+KNOWN_WINDOWS = 50_000
+
+
 @dataclass(frozen=True)
 class Hit:
     label: str
@@ -63,13 +71,16 @@ class Scanner:
         import ahocorasick
         import regex
 
-        self.base = [(f" {p} ".encode(), label, len(p.split())) for p, label in base]
+        self.base = [(f" {p} ", label, len(p.split())) for p, label in base]
         self.seeds = ahocorasick.Automaton()
-        self.patterns = []
+        self.notices = []
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for no, (notice, label, k) in enumerate(notices):
             padded = f" {notice} "
-            self.patterns.append((regex.compile(f"(?b)(?:{regex.escape(padded, literal_spaces=True)}){{e<={k}}}"), label, len(padded), k))
+            if len(padded) <= 4 * k:
+                raise ValueError(f"{k} errors are too many for {notice!r}: a window could hold two notices")
+            self.notices.append((regex.compile(f"(?b)(?:{regex.escape(padded, literal_spaces=True)}){{e<={k}}}"), label, padded, k))
             cuts = [len(padded) * i // (k + 1) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 found.setdefault(padded[a:b], []).append((no, b))
@@ -77,36 +88,61 @@ class Scanner:
             self.seeds.add_word(seed, places)
         self.seeds.make_automaton()
 
+    def verify(self, letters: str, no: int, start: int) -> tuple[int, int, int] | None:
+        """(start, stop, edits) of the best match in the window that a seed asks for: where the notice would start at `start`,
+        with room for all its errors on both sides. The window bounds the cost, and equal windows are verified once."""
+        pattern, _, padded, k = self.notices[no]
+        if letters.startswith(padded, start):
+            return start, start + len(padded), 0
+        a, b = max(0, start - k), start + len(padded) + k
+        window = letters[a:b]
+        try:
+            hit = self.known[no, window]
+        except KeyError:
+            if len(self.known) >= KNOWN_WINDOWS:
+                self.known.clear()
+            m = pattern.search(window)
+            hit = self.known[no, window] = (m.start(), m.end(), sum(m.fuzzy_counts)) if m and m.group().strip() else None
+        return hit and (a + hit[0], a + hit[1], hit[2])
+
     def scan(self, text: str) -> tuple[int, list[Hit]]:
-        """Number of words, and all hits: base phrases at every place, notices once a place."""
+        """Number of words, and all hits: base phrases at every place; of a notice's matches that share a word the one with the
+        fewest edits (the first of equals)."""
         words = text.encode().translate(_TABLE).split()
-        canon = b" " + b" ".join(words) + b" "
-        hits = []
-        for phrase, label, n in self.base:
-            at = canon.find(phrase)
+        letters = f" {b' '.join(words).decode()} "
+        found: list[tuple[str, bool, int, int, int, float]] = []  # label, base, start and stop without outer spaces, edits, likeness
+        for phrase, label, _ in self.base:
+            at = letters.find(phrase)
             while at >= 0:
-                hits.append(Hit(label, True, canon.count(b" ", 0, at), n, 0, 1.0, phrase.decode().strip()))
-                at = canon.find(phrase, at + 1)
-        letters = canon.decode("latin-1")
-        windows: dict[int, list[list[int]]] = {}
-        for end, places in self.seeds.iter(letters):
-            for no, stop in places:
-                _, _, size, k = self.patterns[no]
-                start = end + 1 - stop
-                a, b = max(0, start - k), min(len(letters), start + size + k)
-                runs = windows.setdefault(no, [])
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
-        for no, runs in windows.items():
-            pattern, label, size, _ = self.patterns[no]
-            for a, b in runs:
-                for m in pattern.finditer(letters, a, b, overlapped=False):
-                    edits = sum(m.fuzzy_counts)
-                    matched = m.group().encode("latin-1").decode(errors="replace").strip()
-                    first = canon.count(b" ", 0, m.start() + (canon[m.start() : m.start() + 1] == b" "))
-                    hits.append(Hit(label, False, max(0, first - 1), len(matched.split()), edits, 1 - edits / size, matched))
+                found.append((label, True, at + 1, at + len(phrase) - 1, 0, 1.0))
+                at = letters.find(phrase, at + 1)
+        asked = {(no, max(0, end + 1 - stop)) for end, places in self.seeds.iter(letters) for no, stop in places}
+        if not found and not asked:
+            return len(words), []
+        spaces = [i for i, c in enumerate(letters) if c == " "]
+        matches: dict[int, set[tuple[int, int, int]]] = {}
+        for no, start in asked:
+            if hit := self.verify(letters, no, start):
+                a, b, edits = hit
+                while letters[a] == " ":
+                    a += 1
+                while letters[b - 1] == " ":
+                    b -= 1
+                matches.setdefault(no, set()).add((edits, a, b))
+        for no, several in matches.items():
+            _, label, padded, _ = self.notices[no]
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(several):
+                span = bisect_left(spaces, a) - 1, bisect_left(spaces, b)  # its first word, and the one after it
+                at = bisect_left(taken, span)
+                if (at < len(taken) and taken[at][0] < span[1]) or (at and taken[at - 1][1] > span[0]):
+                    continue
+                taken.insert(at, span)
+                found.append((label, False, a, b, edits, 1 - edits / len(padded)))
+        hits = []
+        for label, base, a, b, edits, likeness in found:
+            first = bisect_left(spaces, a) - 1
+            hits.append(Hit(label, base, first, bisect_left(spaces, b) - first, edits, likeness, letters[a:b]))
         return len(words), hits
 
 
