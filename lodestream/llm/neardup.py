@@ -6,16 +6,22 @@ on a band are candidates, and every link is confirmed on the full shingle sets.
 
 The work of a bucket is linear in its size where it can be. (1) Documents with equal shingle sets are one node. (2) In each
 bucket every node is compared with the bucket's smallest node; links found so give components. (3) Only a bucket that
-then still holds several components needs more: its nodes outside the commonest component are compared with the others,
-in blocks. A pair is skipped only where both documents are linked already, so the components are those of all candidate
+then still holds several components needs more: its nodes outside the commonest component, the probes, are compared with
+all others. A pair is skipped only where both documents are linked already, so the components are those of all candidate
 pairs. Texts are read once for signatures and once more, for candidates only, for verification.
 
+Step 3 is exact and has to look at every pair of near misses in a bucket: bands that are long enough to part pairs at 0.75
+from pairs at 0.8 would have to be so many, at the chance MISS, that near misses meet in them all the same. What it costs is
+bounded: nodes are cut into blocks and probes into groups of BLOCK_BYTES of shingles each; a task holds an index of one block
+and streams one group past it, so no worker holds a bucket. A block's frequent shingles are columns of a matrix and the others
+lists, so that a pair costs some tens of nanoseconds. A bucket of n bytes, all near misses, ships n * n / BLOCK_BYTES * 2.
+
 The chance that a pair just at the threshold is no candidate is below MISS; it falls quickly above the threshold.
 
 What is kept is decided by row, not by id: every row has a written unique uid, and of each component one row is kept, that
 with the smallest id (nulls last) and, among rows with that id, the smallest uid.
 
-Defined cases: null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept; a
+Defined cases: texts of any length are read whole; null and empty texts, and texts of white space, have no shingles, are linked with nothing and are kept; a
 text with fewer words than a shingle is one shingle; rows with equal ids are separate rows, linked by their texts alone, so
 each may be kept or not; rows with a null id take part, and a component of null ids alone has a null id and keeps one row;
 an empty table gives an empty result; other columns are not read (near_duplicates) or pass through (drop_near_duplicates).
@@ -39,8 +45,10 @@ WORDS = 5
 THRESHOLD = 80
 ROWS = 5
 MISS = 1e-6
-#: Nodes of a bucket that are held together when its components are compared.
-BLOCK = 256
+#: Bytes of shingle hashes that a task indexes when a bucket's components are compared, and those of probes that pass by it.
+BLOCK_BYTES = 16 << 20
+#: Probes whose counts are one matrix product.
+PROBES = 128
 #: Nodes that are compared with one copy of their center.
 SALTED = 512
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -192,44 +200,104 @@ def _compare_with_center(threshold: int):
     return run
 
 
+class BlockIndex:
+    """Exact intersections of one set with all sets of a block. Shingles in a quarter of the sets or more are columns of a
+    matrix, which has at most 4 times the entries of the sets; the others have lists of the sets that hold them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        n = len(sets)
+        every, of = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), self.sizes)
+        order = np.argsort(every, kind="stable")
+        every, self.of = every[order], of[order]
+        self.first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.shingles, self.held = every[self.first], np.diff(np.append(self.first, len(every)))
+        common = 4 * self.held >= n
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((n, int(common.sum())), np.float32)
+        for c, (at, k) in enumerate(zip(self.first[common].tolist(), self.held[common].tolist(), strict=True)):
+            self.matrix[self.of[at : at + k], c] = 1
+
+    def shared(self, probes: list[np.ndarray]) -> np.ndarray:
+        """How many shingles each probe (row) shares with each set of the block."""
+        n = len(self.sizes)
+        columns, counts = np.zeros((len(probes), self.matrix.shape[1]), np.float32), []
+        for row, probe in enumerate(probes):
+            at = np.searchsorted(self.shingles, probe)
+            at[at == len(self.shingles)] = 0
+            at = at[self.shingles[at] == probe]
+            column = self.column[at]
+            columns[row, column[column >= 0]] = 1
+            rare = at[column < 0]
+            k = self.held[rare]
+            places = np.arange(k.sum()) + np.repeat(self.first[rare] - np.cumsum(k) + k, k)
+            counts.append(np.bincount(self.of[places], minlength=n))
+        return np.array(counts) + (columns @ self.matrix.T).astype(np.int64)
+
+
+class _Cell:
+    """One block of a bucket and the probes that pass by it. Links are given as far as they join components."""
+
+    def __init__(self, threshold: int):
+        self.threshold, self.own, self.index, self.root = threshold, [], None, {}
+
+    def find(self, x: int) -> int:
+        while self.root.setdefault(x, x) != x:
+            self.root[x] = x = self.root[self.root[x]]
+        return x
+
+    def seal(self):
+        """All of the block is there; its own probes go first."""
+        if self.index is None and self.own:
+            self.index = BlockIndex([x[3] for x in self.own])
+            self.nodes, self.labels, self.probes = (np.array([x[i] for x in self.own]) for i in range(3))
+            yield from self.compare([(n, c, data) for n, c, probe, data in self.own if probe])
+
+    def compare(self, probes: list[tuple[int, int, np.ndarray]]):
+        for at in range(0, len(probes) if self.index else 0, PROBES):
+            some = probes[at : at + PROBES]
+            both = self.index.shared([data for *_, data in some])
+            sizes = np.array([len(data) for *_, data in some])[:, None]
+            near = 100 * both >= self.threshold * (self.index.sizes + sizes - both)
+            for row in np.flatnonzero(near.any(1)).tolist():
+                node, label, _ = some[row]
+                # two probes meet twice; once is enough
+                hits = np.flatnonzero(near[row] & (self.labels != label) & (~self.probes | (self.nodes < node)))
+                labels, first = np.unique(self.labels[hits], return_index=True)
+                for other, hit in zip(labels.tolist(), hits[first].tolist(), strict=True):
+                    if self.find(other) != self.find(label):
+                        self.root[self.find(other)] = self.find(label)
+                        yield node, int(self.nodes[hit])
+
+
 def _compare_blocks(threshold: int):
-    """Rows arrive by (bucket, block): nodes outside the bucket's main component (probes), and the block's own nodes."""
-
-    def links(group: list[tuple]):
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root.setdefault(root[x], root[x])
-            return x
-
-        sets = {n: np.frombuffer(d, np.uint64) for n, _, _, _, d in group}
-        comps = {n: c for n, c, _, _, _ in group}
-        own = [n for n, _, probe, here, _ in group if here]
-        probes = [n for n, _, probe, _, _ in group if probe]
-        for p in probes:
-            for n in own:
-                if comps[p] != comps[n] and find(comps[p]) != find(comps[n]) and linked(sets[p], sets[n], threshold):
-                    root[find(comps[p])] = find(comps[n])
-                    yield p, n
+    """Rows arrive by (bucket, block, group), the block's own nodes first: own says that a row belongs to the block, probe that
+    it belongs to the group of nodes outside the bucket's main component, which are compared with the block."""
+
+    def out(found: list):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     def run(batches):
-        at, group = None, []
+        at, cell = None, _Cell(threshold)
         for b in batches:
-            found = []
-            for row in zip(*(b.column(n).to_pylist() for n in ("bucket", "block", "node", "label", "probe", "here", "set")), strict=True):
-                if row[:2] != at:
-                    found += links(group)
-                    at, group = row[:2], []
-                group.append(row[2:])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-        found = list(links(group))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            found, passing = [], []
+            for bucket, block, group, node, label, own, probe, data in zip(*(b.column(n).to_pylist() for n in ("bucket", "block", "group", "node", "label", "own", "probe", "set")), strict=True):
+                if (bucket, block, group) != at:
+                    found += [*cell.seal(), *cell.compare(passing)]
+                    at, cell, passing = (bucket, block, group), _Cell(threshold), []
+                if own:
+                    cell.own.append((node, label, probe, np.frombuffer(data, np.uint64)))
+                else:
+                    found += cell.seal()
+                    passing.append((node, label, np.frombuffer(data, np.uint64)))
+            found += cell.compare(passing)
+            yield out(found)
+        yield out(list(cell.seal()))
 
     return run
 
 
-def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int) -> tuple[DataFrame, list[DataFrame]]:
+def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[DataFrame]]:
     """Labels (node, label) of the nodes with a confirmed link, and the tables of those links (a, b)."""
     members = nodes.select("node", "n_shingles", F.explode("keys").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("center"), F.min_by("n_shingles", "node").alias("center_n"), F.count(F.lit(1)).alias("size"))
@@ -254,20 +322,26 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     labels = connected_components(first)
 
     # Buckets that still hold several components. Two nodes alone have been compared already.
-    known = busy.join(labels, "node", "left").select("bucket", "size", "node", F.coalesce("label", "node").alias("label"))
+    known = busy.join(labels, "node", "left").select("bucket", "size", "node", "n_shingles", F.coalesce("label", "node").alias("label"))
     known = materialize(known, "nd-known")
     discard(members, pairs)
     mixed = known.groupBy("bucket", "size").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print"))
     mixed = mixed.filter("lo <> hi").groupBy("size", "print").agg(F.min("bucket").alias("bucket"))
     # counted before the join: a large bucket is a row a label and task by then
-    counted = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).join(mixed.select("bucket"), "bucket")
+    counted = known.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).join(mixed.select("bucket"), "bucket")
     # written, so that the join below has plain exchanges on both sides and a large bucket's can be split
-    main = materialize(counted.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m")).select("bucket", F.col("m.label").alias("main")), "nd-main")
-    plan = known.join(main, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    plan = plan.withColumn("probe", F.col("label") != F.col("main")).withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = plan.withColumn("block", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    rows = spread.join(sets, "node").select("bucket", "block", "node", "label", "probe", (F.col("home") == F.col("block")).alias("here"), "set")
-    dealt = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    m, cuts = F.max(F.struct("n", "label", "w")), lambda w: F.greatest(F.ceil(8 * w / block_bytes).cast("int"), F.lit(1))
+    main = counted.groupBy("bucket").agg(m.alias("m"), F.sum("w").alias("w"))
+    main = materialize(main.select("bucket", F.col("m.label").alias("main"), cuts(F.col("w")).alias("blocks"), cuts(F.col("w") - F.col("m.w")).alias("groups")), "nd-main")
+    plan = known.join(main, "bucket").withColumn("probe", F.col("label") != F.col("main"))
+    plan = plan.withColumns({"block": F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), "group": F.pmod(F.xxhash64("node", F.lit(1)), F.col("groups")).cast("int")})
+    cell = lambda block, group, own, probe: F.struct(block.alias("block"), group.alias("group"), own.alias("own"), probe.alias("probe"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = F.transform(upto("groups"), lambda g: cell(F.col("block"), g, F.lit(True), F.col("probe") & (g == F.col("group"))))
+    passing = F.transform(F.filter(upto("blocks"), lambda b: b != F.col("block")), lambda b: cell(b, F.col("group"), F.lit(False), F.lit(True)))
+    spread = plan.select("bucket", "node", "label", F.explode(F.when(F.col("probe"), F.concat(held, passing)).otherwise(held)).alias("c"))
+    rows = spread.join(sets, "node").select("bucket", "c.block", "c.group", "node", "label", "c.own", "c.probe", "set")
+    dealt = rows.repartition("bucket", "block", "group").sortWithinPartitions("bucket", "block", "group", F.desc("own"))
     second = materialize(dealt.mapInArrow(_compare_blocks(threshold), "a long, b long"), "nd-links")
     discard(known, sets, main)
     if second.limit(1).count():
@@ -276,7 +350,7 @@ def find_links(signed: DataFrame, nodes: DataFrame, threshold: int, words: int)
     return labels, [first, second]
 
 
-def _decide(source: DataFrame, threshold: int, words: int, rows: int) -> tuple[DataFrame, DataFrame]:
+def _decide(source: DataFrame, threshold: int, words: int, rows: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """source (doc_id, text and others) as written, with a uid a row, and (uid, doc_id, n_shingles, component_id, kept) of every row."""
     bounded_batches(source.sparkSession)
     bands = bands_for(threshold, rows)
@@ -286,7 +360,7 @@ def _decide(source: DataFrame, threshold: int, words: int, rows: int) -> tuple[D
     best = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")
     classes = materialize(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min(best).alias("least")), "nd-classes")
     nodes = materialize(some.select(F.col("uid").alias("node"), "n_shingles", "keys").join(classes.select("node"), "node", "left_semi"), "nd-nodes")
-    labels, links = find_links(signed, nodes, threshold, words)
+    labels, links = find_links(signed, nodes, threshold, words, block_bytes)
     named = classes.join(labels, "node", "left").select("d1", "d2", F.coalesce("label", "node").alias("label"), "least")
     named = materialize(named, "nd-named")
     discard(classes, nodes, labels, *links)
@@ -298,10 +372,10 @@ def _decide(source: DataFrame, threshold: int, words: int, rows: int) -> tuple[D
     return signed, linked_rows.union(alone)
 
 
-def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: int = THRESHOLD, words: int = WORDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id (smallest id reachable), kept (one row of each component)."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _decide(source, threshold, words, rows)[1].drop("uid")
+    return _decide(source, threshold, words, rows, block_bytes)[1].drop("uid")
 
 
 def drop_near_duplicates(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,6 +76,33 @@ def test_hot_group_of_near_copies(spark):
     assert all(r.component_id == r.doc_id for r in got if r.doc_id % 3)
 
 
+def test_family_of_near_misses_in_small_blocks(spark):
+    """Texts around the threshold: many meet in one bucket and few are links. Blocks of two kilobytes cut it into many cells."""
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        copy = list(words)
+        for _ in range(2 if i % 5 else 1):
+            copy[r.randrange(len(copy))] = f"own{r.randrange(60)}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows, 85)
+    assert 1 < len({c for _, _, c, _ in want}) < 240
+    for size in (2_000, 20_000, N.BLOCK_BYTES):
+        assert shape(N.near_duplicates(df, 85, block_bytes=size)) == want
+
+
+def test_block_index_counts_exactly():
+    r = np.random.RandomState(5)
+    common = r.randint(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common[r.rand(60) < 0.7], r.randint(0, 1 << 62, 30).astype(np.uint64), r.randint(0, 400, 40).astype(np.uint64)])) for _ in range(90)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[:50]] for a in sets[50:]]
+    assert N.BlockIndex(sets[:50]).shared(sets[50:]).tolist() == want
+
+
 def test_odd_rows(odd, empty):
     got = N.near_duplicates(odd, 85)
     want = brute(ODD_ROWS, 85)
