@@ -63,9 +63,10 @@ ORACLES = {
                 concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)), '>', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
                 'Content-Type: application/http; msgtype=response', chr(13), chr(10), 'Content-Length: ', strlen(http)::VARCHAR, chr(13), chr(10), chr(13), chr(10), http, chr(13), chr(10), chr(13), chr(10)) AS record FROM h),
         d AS (SELECT page_id, url, strlen(record) AS n, sha256(record) AS hash, sha256(CASE
+                WHEN page_id % 401 = 7 THEN NULL
                 WHEN page_id % 97 = 13 THEN concat(substr(record, 1, (length(record) // 2 - 1)), chr(1), substr(record, length(record) // 2 + 1))
                 WHEN page_id % 211 = 5 THEN substr(record, 1, length(record) - 7) ELSE record END) AS copy FROM r),
         o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, hash) - 1 AS no FROM d)
-        SELECT page_id, (no // 256)::BIGINT AS file, (sum(n) OVER f - n)::BIGINT AS start, (sum(n) OVER f)::BIGINT AS stop, hash AS record_sha256, copy AS replica_sha256, hash <> copy AS damaged
+        SELECT page_id, (no // 256)::BIGINT AS file, (sum(n) OVER f - n)::BIGINT AS start, (sum(n) OVER f)::BIGINT AS stop, hash AS record_sha256, copy AS replica_sha256, hash IS DISTINCT FROM copy AS damaged
         FROM o WINDOW f AS (PARTITION BY no // 256 ORDER BY no)""",
 }
