@@ -4,8 +4,11 @@ Every shard bids for a record with ln(u) / weight, where u in (0, 1) is a hash o
 number; the highest bid wins, ties go to the smaller number. A new shard can only win records for itself, so growing
 moves no record between old shards, and shards receive records in proportion to their weights.
 
+Slots number the rows of a shard by key, size and checksum. Rows that are equal in all three are interchangeable; they are
+told apart by a written number, so that copies of one row spread over all cells and tasks.
+
 Defined cases: a null key is hashed as a key of its own kind; rows with equal keys share a shard; a null text has no
-bytes; an empty table gives an empty result; other columns are not read.
+bytes; texts of any length count whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dense_rank_slots
+from .common import dense_rank_slots, materialize
 
 N_SHARDS = 40
 
@@ -42,5 +45,6 @@ def shard_records(df: DataFrame, weights: list[float] | None = None, key_col: st
         rendezvous_shard(F.col(key_col), weights).alias("shard"),
         rendezvous_shard(F.col(key_col), [*weights, 1.0]).alias("grown_shard"),
     )
-    slotted = dense_rank_slots(placed, ["shard"], ["doc_id", "size", "text_crc32"], "slot", len(weights), spread)
+    placed = materialize(placed.withColumn("__tie", F.monotonically_increasing_id()), "shards")
+    slotted = dense_rank_slots(placed, ["shard"], ["doc_id", "size", "text_crc32", "__tie"], "slot", len(weights), spread)
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,6 +1,9 @@
+import math
 import zlib
 from collections import Counter
 
+import xxhash
+
 from lodestream.llm import sharding as S
 
 from .conftest import ODD_ROWS
@@ -18,6 +21,29 @@ def test_law_slots_and_growth(documents, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_the_highest_bid_wins(documents):
+    """Against bids made one by one, with the hash of another library."""
+    as_bytes = lambda x, n: x.to_bytes(n, "little", signed=True)
+
+    def bid(key, i):
+        h = xxhash.xxh64_intdigest(as_bytes(i, 4), xxhash.xxh64_intdigest(as_bytes(key, 8), 42))
+        return math.log(((h >> 11) + 0.5) / 2**53)
+
+    for r in S.shard_records(documents).collect():
+        bids = [bid(r.doc_id, i) for i in range(41)]
+        assert r.shard == max(range(40), key=bids.__getitem__) and r.grown_shard == max(range(41), key=bids.__getitem__)
+
+
+def test_copies_of_one_row_spread_over_cells(spark):
+    from lodestream.llm.common import dense_rank_slots
+
+    df = spark.range(6400).selectExpr("1 as shard", "7L as doc_id", "id as tie")
+    plan = dense_rank_slots(df, ["shard"], ["doc_id", "tie"], "slot", 1, 64)
+    assert sorted(r.slot for r in plan.collect()) == list(range(6400))
+    rows = S.shard_records(spark.range(4000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")).collect()
+    assert sorted(r.slot for r in rows) == list(range(4000))
+
+
 def test_shares_follow_weights(spark):
     df = spark.range(20_000).selectExpr("id as doc_id", "'x' as text")
     found = Counter(r.shard for r in S.shard_records(df, [1.0, 2.0, 0.0, 1.0]).select("shard").collect())
