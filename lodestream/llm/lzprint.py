@@ -10,9 +10,10 @@ chance. Dictionaries are prefix-closed, so the end of a phrase is searched outwa
 
 Neighbours are found without a global sort: ids are cut into ranges of equal counts, each range is sorted in one task, and
 the first document of a range is lent to the range before it. An id that fills whole ranges, and the null id, are cut further
-by the hash of the text, so that no id is too common.
+by the hash of the text into as many cells as there are shuffle partitions, so that no id is too common. Rows with both id and
+text in common stand side by side and are parsed once.
 
-Defined cases: a null text counts as empty and has the empty fingerprint, which is like another empty one (1) and unlike
+Defined cases: texts of any length are parsed whole; a null text counts as empty and has the empty fingerprint, which is like another empty one (1) and unlike
 all others (0); documents are ordered by descending id, null ids last, equal ids by a hash of their text; a single document
 is its own next one; an empty table gives an empty result; other columns are not read.
 """
@@ -20,6 +21,7 @@ is its own next one; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shuffle_partitions
 
 BINS = 128
-#: Cells that a common id's range is cut into, as a power of two.
+#: Cells that a common id's range is cut into at least, as a power of two; more with more shuffle partitions.
 CELL_BITS = 6
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -119,6 +121,7 @@ def fingerprint(text: str) -> bytes:
     return signature(text, parse(text, 0, set()))
 
 
+@lru_cache(1)
 def both_fingerprints(text: str, after: str) -> tuple[bytes, str, bytes]:
     """Fingerprint of text, its edited text (last third replaced by the start of `after`), and that one's fingerprint.
 
@@ -161,12 +164,13 @@ def with_next(df: DataFrame) -> DataFrame:
     first document of the following range comes last, as a lent row."""
     spark = df.sparkSession
     parts = 4 * shuffle_partitions(spark)
+    bits = max(CELL_BITS, shuffle_partitions(spark).bit_length())
     found = [int(c) for c in df.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)]
     common = {a for a, b in zip(found, found[1:], strict=False) if a == b}  # ids that fill a range or more have one of their own
     number = _range_number(F.col("key"), sorted({*found, *(c + 1 for c in common)}))
     cut = F.col("key").isNull() | (F.col("key").isin(list(common)) if common else F.lit(False))
-    cell = F.when(cut, F.pmod(F.shiftright("tie", 64 - CELL_BITS) + (1 << (CELL_BITS - 1)), F.lit(1 << CELL_BITS))).otherwise(0)
-    ranged = df.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(number).cast("long") * (1 << CELL_BITS) + cell)
+    cell = F.when(cut, F.pmod(F.shiftright("tie", 64 - bits) + (1 << (bits - 1)), F.lit(1 << bits))).otherwise(0)
+    ranged = df.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(number).cast("long") * (1 << bits) + cell)
     # one row a range: some times the partitions, whatever the input
     tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max(F.struct("key", "tie")).alias("top")).collect()}
     order = sorted(tops)
@@ -178,7 +182,7 @@ def with_next(df: DataFrame) -> DataFrame:
     lenders = spark.createDataFrame([(r, tops[r]["key"], tops[r]["tie"], above[r]) for r in order], "range long, __top long, __tie long, __to long")
     lent = ranged.join(F.broadcast(lenders), "range").filter(F.col("key").eqNullSafe(F.col("__top")) & (F.col("tie") == F.col("__tie")))
     lent = lent.select("key", "text", "tie", F.col("__to").alias("range"), F.lit(True).alias("lent"))
-    return rows.unionByName(lent).repartition(parts // 4, "range").sortWithinPartitions("range", "lent", F.desc_nulls_last("key"), F.desc("tie"))
+    return rows.unionByName(lent).repartition("range").sortWithinPartitions("range", "lent", F.desc_nulls_last("key"), F.desc("tie"))
 
 
 def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
