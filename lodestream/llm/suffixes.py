@@ -18,8 +18,11 @@ Hashes only ever spare work: a collision sends a string to the exact comparison.
 each chunk of documents and part of the hash range, holding a hash at most twice, so a hot string costs a chunk two
 entries. The documents are written once as a table bucketed by chunk, so the passes over text shuffle no text.
 
-Defined cases: a null text counts as empty; texts shorter than `length` stay as they are; rows with equal ids are separate
-documents, so two equal rows remove each other's text; an empty table gives an empty result; other columns are not read
+A chunk ends at a number of documents or of bytes, whichever comes first, so that what a task holds of it is bounded in bytes
+(by one document more).
+
+Defined cases: a null text counts as empty; texts of any length are searched whole, in segments; texts shorter than `length`
+stay as they are; null ids are ids like others; rows with equal ids are separate documents, so two equal rows remove each other's text; an empty table gives an empty result; other columns are not read
 (digests) or pass through unchanged (remove_repeats). Removal works on bytes; where it cuts a character, remove_repeats
 drops the character's remains.
 """
@@ -43,6 +46,8 @@ LENGTH = 200
 GRAM = 80
 #: Documents in a small corpus' chunk, as a power of two; window starts hashed at a time; bytes suffix-sorted at a time.
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
+#: Bytes of text in a chunk for each document it may hold: 2 MB in a small corpus, 32 MB at most.
+DOCUMENT_BYTES = 2048
 #: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
 KEPT_BYTES = 8 << 20
 #: Chunks whose contexts of one anchor may meet in a task.
@@ -495,14 +500,38 @@ def _chunk_bits(count: int) -> int:
     return min(CHUNK_BITS + 4, max(CHUNK_BITS, CHUNK_BITS + (count >> 22).bit_length()))
 
 
+def _number(documents: int):
+    """Adds __uid and __chunk to rows with a __text. A task's chunks end at so many documents or DOCUMENT_BYTES times as many bytes."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        uid, chunk, rows, size = task << 40, task << 32, 0, 0
+        for b in batches:
+            chunks = []
+            for n in pa.compute.binary_length(b.column("__text")).fill_null(0).to_pylist():
+                if rows == documents or (rows and size + n > documents * DOCUMENT_BYTES):
+                    chunk, rows, size = chunk + 1, 0, 0
+                chunks.append(chunk)
+                rows, size = rows + 1, size + n
+            uids = np.arange(uid, uid + b.num_rows)
+            uid += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(uids, pa.int64()), pa.array(chunks, pa.int64())], names=[*b.schema.names, "__uid", "__chunk"])
+
+    return run
+
+
 def _stage(df: DataFrame) -> tuple[DataFrame, int]:
     """The documents as a table bucketed by chunk in the shared folder, and the number of parts of the hash range."""
     spark, count = df.sparkSession, df.count()
-    rows = df.withColumn("__uid", F.monotonically_increasing_id())
-    rows = rows.withColumn("__chunk", F.shiftright("__uid", _chunk_bits(count)))
+    longs = [T.StructField(n, T.LongType()) for n in ("__uid", "__chunk")]
+    rows = df.mapInArrow(_number(1 << _chunk_bits(count)), T.StructType([*df.schema, *longs]))
     buckets, name = shuffle_partitions(spark), f"repeats_{uuid.uuid4().hex}"
     rows.write.bucketBy(buckets, "__chunk").option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name), max(2 * buckets, count // 16_384)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets it; its files stay with the other scratch tables
+    return table, max(2 * buckets, count // 16_384)
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:

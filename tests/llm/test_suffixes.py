@@ -94,3 +94,17 @@ def test_suffix_order_is_sorted():
             while max(a, b) + m < len(text) and text[a + m] == text[b + m]:
                 m += 1
             assert n == m
+
+
+def test_chunks_are_bounded_in_bytes_and_leave_no_table(spark):
+    rows = [(i, ("abcdefghij"[i % 10] * 30_000) if i % 2 else "short") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, __text string").coalesce(1)
+    staged, _ = X._stage(df)
+    sizes = {}
+    for r in staged.collect():
+        sizes.setdefault(r["__chunk"], []).append(len(r["__text"]))
+    limit = (1 << X.CHUNK_BITS) * X.DOCUMENT_BYTES
+    assert len(sizes) > 1 and all(sum(s) <= limit or len(s) == 1 for s in sizes.values())
+    assert sum(map(len, sizes.values())) == 300 and len({r["__uid"] for r in staged.collect()}) == 300
+    X.repeat_digests(df.withColumnRenamed("__text", "text")).count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
