@@ -2,26 +2,33 @@
 
 A collection has id (LONG), vector_id (STRING), embedding (ARRAY<FLOAT>), metadata. Top-k never shuffles the collection
 row by row: one query is a column expression under TakeOrderedAndProject; a list of queries is a matrix in the tasks; a table
-of queries meets the vectors in blocks. At most k rows a query and task travel.
+of queries meets the vectors in blocks. At most k rows a query and task travel, ties included: they go by key inside the tasks
+as they do in the end. What a task or the driver holds is bounded in bytes, whatever the width of the vectors.
+
+Vectors of unequal width raise an error, wherever they meet.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.vectors import cosine_similarity, vector_literal
+from ..sources.scratch import materialize
 
 #: Queries scored together, and vectors of an Arrow batch scored together.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-#: Blocks of queries whose best rows a task holds; beyond it they are handed on.
-HELD_BLOCKS = 256
+#: Bytes of a block of vectors or queries, of the blocks of queries a task holds before it hands their best rows on, of packed
+#: queries that are broadcast, and of the vectors that an index is fitted on.
+BLOCK_BYTES, HELD_BYTES, BROADCAST_BYTES, SAMPLE_BYTES = 16 << 20, 128 << 20, 64 << 20, 256 << 20
 
 
 def search_vectors(df: DataFrame, query: Sequence[float], top_k: int = 10, key: str = "vector_id", vector: str = "embedding") -> DataFrame:
@@ -32,11 +39,23 @@ def search_vectors(df: DataFrame, query: Sequence[float], top_k: int = 10, key:
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the non-null vectors and their matrix in double precision."""
-    valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    """Rows of the vectors that are neither null nor empty, and their matrix in double precision."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    valid = np.flatnonzero(sizes)
+    if not len(valid):
+        return valid, np.empty((0, 0))
+    width = sizes[valid[0]]
+    if (sizes[valid] != width).any():
+        raise ValueError("vectors of unequal length")
     lists = column.take(pa.array(valid, pa.int64())) if len(valid) < len(column) else column
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return valid, flat.reshape(len(valid), -1) if len(valid) else flat.reshape(0, 0)
+    return valid, lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(valid), width)
+
+
+def _parts(column: pa.Array, rows: int) -> list[tuple[int, int]]:
+    """(start, length) of parts of a column of vectors with at most so many rows and BLOCK_BYTES of numbers in double precision."""
+    widest = pc.max(pc.list_value_length(column)).as_py() or 1
+    rows = max(1, min(rows, BLOCK_BYTES // (8 * widest)))
+    return [(at, min(rows, len(column) - at)) for at in range(0, len(column), rows)]
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -45,7 +64,7 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The best rows so far of a block of queries; all that tie with the last place stay, so that the key can decide."""
+    """The best top_k rows so far of a block of queries, ties by key (nulls first)."""
 
     def __init__(self, ids: list, block: np.ndarray, top_k: int):
         self.ids, self.block, self.top_k = ids, block, top_k
@@ -59,9 +78,15 @@ class _Best:
             raise ValueError("vectors and queries of unequal length")
         scores = np.concatenate([self.scores, self.block @ _unit(matrix).T], 1)
         every = np.concatenate([self.keys, np.broadcast_to(np.array(keys, object), (len(self.ids), len(keys)))], 1)
-        if scores.shape[1] > self.top_k:
-            cut = -np.partition(-scores, self.top_k - 1, axis=1)[:, self.top_k - 1 : self.top_k]
-            order = np.argsort(-scores, axis=1, kind="stable")[:, : int((scores >= cut).sum(1).max())]
+        k = self.top_k
+        if scores.shape[1] > k:
+            order = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            cut = np.take_along_axis(scores, order, 1).min(1, keepdims=True)
+            for row in np.flatnonzero((scores >= cut).sum(1) > k).tolist():  # several rows tie for the last place
+                tied = np.flatnonzero(scores[row] == cut[row])
+                above = np.flatnonzero(scores[row] > cut[row])
+                of = every[row]
+                order[row] = [*above.tolist(), *heapq.nsmallest(k - len(above), tied.tolist(), key=lambda i: (of[i] is not None, of[i]))]  # noqa: B023
             scores, every = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
         self.scores, self.keys = scores, every
 
@@ -88,16 +113,17 @@ def search_batch(df: DataFrame, query_ids: Sequence, queries: Sequence[Sequence[
     id_type = T.StringType() if isinstance(query_ids[0], str) else T.LongType()
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
     found = None
-    for at in range(0, len(query_ids), QUERY_BLOCK):
-        ids = list(query_ids[at : at + QUERY_BLOCK])
-        block = _unit(np.array(queries[at : at + QUERY_BLOCK], np.float64))
+    size = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * max(1, len(queries[0])))))
+    for at in range(0, len(query_ids), size):
+        ids = list(query_ids[at : at + size])
+        block = _unit(np.array(queries[at : at + size], np.float64))
 
         def score(batches, ids=ids, block=block):
             best, kind = _Best(ids, block, top_k), None
             for b in batches:
                 kind = b.column(0).type
-                for start in range(0, b.num_rows, VECTOR_BLOCK):
-                    part = b.slice(start, VECTOR_BLOCK)
+                for start, n in _parts(b.column(1), VECTOR_BLOCK):
+                    part = b.slice(start, n)
                     rows, matrix = _matrix(part.column(1))
                     best.add(part.column(0).take(pa.array(rows, pa.int64())).to_pylist(), matrix)
             if kind is not None:
@@ -114,35 +140,44 @@ def _blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> Dat
 
     def run(batches):
         for b in batches:
-            for start in range(0, b.num_rows, rows):
-                part = b.slice(start, rows)
+            for start, n in _parts(b.column(1), rows):
+                part = b.slice(start, n)
                 at, matrix = _matrix(part.column(1))
                 if len(at):
                     keys = part.column(0).take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([_unit(matrix).astype(np.float64).tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([_unit(matrix).tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32())], names=schema.names)
 
     return df.select(key, vector).mapInArrow(run, schema)
 
 
 def search_table(df: DataFrame, queries: DataFrame, top_k: int = 10, query_key: str = "query_id", key: str = "vector_id", vector: str = "embedding") -> DataFrame:
     """The same for a table of queries of any size, none of which reaches the driver: blocks of queries meet blocks of vectors,
-    and each task keeps the best top_k rows of the queries it has met. query_key: the queries' id column."""
-    pairs = _blocks(df, key, vector, VECTOR_BLOCK, "v").join(_blocks(queries, query_key, vector, QUERY_BLOCK, "q"), how="cross")
+    and each task keeps the best top_k rows of the queries it has met. query_key: the queries' id column.
+
+    The packed queries are written once. They are broadcast if that table's bytes are few, which is looked up; otherwise every
+    part of the vectors reads them block by block."""
+    packed = materialize(_blocks(queries, query_key, vector, QUERY_BLOCK, "q"), "queries")
+    held = packed.agg(F.sum(F.octet_length("q_data"))).first()[0] or 0
+    pairs = _blocks(df, key, vector, VECTOR_BLOCK, "v").join(F.broadcast(packed) if held <= BROADCAST_BYTES else packed, how="cross")
     schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
 
     def score(batches):
         best: dict = {}
-        kinds = None
+        kinds, held = None, 0
         for b in batches:
             kinds = b.column("q_keys").type.value_type, b.column("v_keys").type.value_type
             for i in range(b.num_rows):
                 ids, keys = b.column("q_keys")[i].as_py(), b.column("v_keys")[i].as_py()
                 matrix = lambda name, n: np.frombuffer(b.column(f"{name}_data")[i].as_buffer(), np.float64).reshape(n, -1)  # noqa: B023, E731
                 if ids[0] not in best:
-                    if len(best) >= HELD_BLOCKS:
+                    block = matrix("q", len(ids)).copy()
+                    size = block.nbytes + 100 * top_k * len(ids)
+                    if best and held + size > HELD_BYTES:
                         yield from (x.rows(*kinds, key) for x in best.values())
                         best.clear()
-                    best[ids[0]] = _Best(ids, matrix("q", len(ids)).copy(), top_k)
+                        held = 0
+                    best[ids[0]] = _Best(ids, block, top_k)
+                    held += size
                 best[ids[0]].add(keys, matrix("v", len(keys)))
         yield from (x.rows(*kinds, key) for x in best.values())
 
@@ -169,6 +204,13 @@ def get_vectors(df: DataFrame, keys: Sequence, key: str = "vector_id", surrogate
     return latest(df.join(wanted, key, "left_semi"), key, surrogate)
 
 
+def latest_with_ids(df: DataFrame, key: str = "vector_id", surrogate: str = "id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """A full scan page by page gives every row: the latest row of each key, and the surrogate ids of all rows that have a
+    key and a vector, in order."""
+    usable = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "") & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    return latest(usable, key, surrogate), usable.select(surrogate)
+
+
 def latest(df: DataFrame, key: str = "vector_id", surrogate: str = "id") -> DataFrame:
     """The row with the largest surrogate id of each key. A maximum, so that copies of one key are combined in the tasks
     that hold them."""
@@ -178,8 +220,7 @@ def latest(df: DataFrame, key: str = "vector_id", surrogate: str = "id") -> Data
 
 def all_vectors(df: DataFrame, key: str = "vector_id", surrogate: str = "id", vector: str = "embedding") -> DataFrame:
     """The latest row of each key, without rows that lack a key or a vector."""
-    usable = df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "") & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    return latest(usable, key, surrogate)
+    return latest_with_ids(df, key, surrogate, vector)[0]
 
 
 def delete_vectors(df: DataFrame, values: Sequence, column: str = "vector_id") -> DataFrame:
@@ -201,11 +242,14 @@ def collection_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def fit_lists(df: DataFrame, n_lists: int = 1024, sample_rows: int = 16_384, rounds: int = 12, vector: str = "embedding", seed: int = 7) -> np.ndarray:
-    """Centroids of an inverted-file index by spherical k-means on at most sample_rows vectors, chosen by a hash."""
-    rows = df.select(vector).filter(F.size(vector) > 0).orderBy(F.xxhash64(vector, F.lit(seed))).limit(sample_rows).collect()
-    if not rows:
+    """Centroids of an inverted-file index by spherical k-means on at most sample_rows vectors and SAMPLE_BYTES, chosen by a
+    hash. They come to the driver as one Arrow table."""
+    some = df.select(vector).filter(F.size(vector) > 0)
+    widest = some.agg(F.max(F.size(vector))).first()[0] or 1
+    rows = some.orderBy(F.xxhash64(vector, F.lit(seed))).limit(min(sample_rows, SAMPLE_BYTES // (8 * widest))).toArrow()
+    if not rows.num_rows:
         return np.empty((0, 0))
-    points = _unit(np.array([r[0] for r in rows], np.float64))
+    points = _unit(_matrix(rows.column(0).combine_chunks())[1])
     random = np.random.RandomState(seed)
     centroids = points[random.choice(len(points), min(n_lists, len(points)), replace=False)]
     for _ in range(rounds):
@@ -224,19 +268,26 @@ def assign_lists(df: DataFrame, centroids: np.ndarray, vector: str = "embedding"
 
     def run(batches):
         for b in batches:
-            rows, matrix = _matrix(b.column(vector))
             lists = np.full(b.num_rows, -1, np.int32)
-            for i in range(0, len(rows), VECTOR_BLOCK):
-                lists[rows[i : i + VECTOR_BLOCK]] = (_unit(matrix[i : i + VECTOR_BLOCK]) @ centroids.T).argmax(1)
+            for start, n in _parts(b.column(vector), VECTOR_BLOCK):
+                rows, matrix = _matrix(b.column(vector).slice(start, n))
+                if len(rows) and len(centroids):
+                    lists[start + rows] = (_unit(matrix) @ centroids.T).argmax(1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists)], names=[*b.schema.names, "list_id"])
 
     return df.mapInArrow(run, schema)
 
 
+def nearest_lists(centroids, query: Sequence[float], n_probe: int) -> list[int]:
+    """Numbers of the n_probe centroids nearest to a query."""
+    if not len(centroids):
+        return []
+    return np.argsort(-(np.array(centroids, np.float64) @ np.array(query, np.float64)), kind="stable")[:n_probe].tolist()
+
+
 def search_lists(indexed: DataFrame, centroids: np.ndarray, query: Sequence[float], top_k: int = 10, n_probe: int = 16, **columns) -> DataFrame:
     """The top_k rows nearest to a query among the lists of its n_probe nearest centroids."""
-    near = np.argsort(-(centroids @ np.array(query, np.float64)), kind="stable")[:n_probe]
-    return search_vectors(indexed.filter(F.col("list_id").isin([int(x) for x in near])), query, top_k, **columns)
+    return search_vectors(indexed.filter(F.col("list_id").isin(nearest_lists(centroids, query, n_probe))), query, top_k, **columns)
 
 
 def _list_blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFrame:
@@ -248,8 +299,8 @@ def _list_blocks(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -
             lists = b.column(2).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.diff(lists)) + 1
             for first, last in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
-                for start in range(first, last, rows):
-                    part = b.slice(start, min(rows, last - start))
+                for start, n in _parts(b.column(1).slice(first, last - first), rows):
+                    part = b.slice(first + start, n)
                     at, matrix = _matrix(part.column(1))
                     if len(at):
                         keys = part.column(0).take(pa.array(at, pa.int64()))
@@ -264,8 +315,8 @@ def probed_lists(queries: DataFrame, centroids: np.ndarray, n_probe: int, query_
 
     def run(batches):
         for b in batches:
-            for start in range(0, b.num_rows, QUERY_BLOCK):
-                part = b.slice(start, QUERY_BLOCK)
+            for start, n in _parts(b.column(1), QUERY_BLOCK):
+                part = b.slice(start, n)
                 rows, matrix = _matrix(part.column(1))
                 if len(rows) and len(centroids):
                     near = np.argsort(-(matrix @ centroids.T), axis=1, kind="stable")[:, :n_probe].astype(np.int32)

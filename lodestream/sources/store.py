@@ -2,7 +2,11 @@
 
 A collection is a folder `root/name` with versions v000001, v000002 ...; the current one is the last that Spark has marked as
 complete. Inserts append files to it; updates and deletes read it, write the next version and so never touch the files they
-read. Folders are listed through Hadoop's file systems, so a root may lie wherever Spark can write. One writer a collection.
+read. A DataFrame that was read lists its files once, so a later append doesn't show in it. Folders are listed through
+Hadoop's file systems, so a root may lie wherever Spark can write. One writer a collection.
+
+A vector collection may have an index beside it: its rows sorted by the number of their nearest centroid, and the centroids. A
+search that names how many lists to probe reads those lists, and every row that came after the index was built.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ from ..operators import documents as D
 from ..operators import vectors as V
 
 VECTOR_SCHEMA = "id long, vector_id string, embedding array<float>, metadata struct<title: string, type: string, parent_id: string, chunk_index: int>"
+# The collections of an embedding store.
+EMBEDDING_COLLECTIONS = ("conversations", "category_embeddings", "cluster_centroids")
+#: What the two tables of a collection's index are called, after the collection.
+_LISTS, _CENTROIDS = "__lists", "__centroids"
 DOCUMENT_SCHEMA = "_id string, text string, title string, type string"
 
 
@@ -86,17 +94,18 @@ class DocumentStore(Collections):
     """Documents by string `_id`."""
 
     def insert(self, name: str, docs: DataFrame) -> DataFrame:
-        """Append documents with new ids; the ids that were asked for and are not there afterwards by this call are refused.
-        Returns the inserted ids."""
+        """Append documents with new ids; of several with one id one is taken, as documents.one_of_each says. Ids that are there
+        already are refused. Returns the inserted documents, as a written table."""
         docs = docs.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.expr("uuid()")) if "_id" in docs.columns else F.expr("uuid()"))
         from .scratch import materialize
 
-        fresh = materialize(D.new_documents(self.read(name), docs), "insert") if self.exists(name) else materialize(docs.dropDuplicates(["_id"]), "insert")
-        if self.exists(name):
+        there = self.exists(name)
+        fresh = materialize(D.new_documents(self.read(name), docs) if there else D.one_of_each(docs), "insert")
+        if there:
             self.append(name, fresh)
         else:
             self.write(name, fresh)
-        return fresh.select("_id")
+        return fresh
 
     def get(self, name: str, key: str) -> DataFrame:
         return D.get_document(self.read(name), str(key))
@@ -128,10 +137,13 @@ class DocumentStore(Collections):
         return self._swap(name, D.update_documents(self.read(name), query, updates, changed="__changed"))
 
     def _delete(self, name: str, kept: DataFrame) -> int:
-        before, after = self.read(name).count(), kept.count()
-        if after < before:
-            self.write(name, kept)
-        return before - after
+        from .scratch import materialize
+
+        done = materialize(kept, "delete")  # one pass over the collection; both counts come from files' footers
+        gone = self.read(name).count() - done.count()
+        if gone:
+            self.write(name, done)
+        return gone
 
     def delete(self, name: str, key: str) -> bool:
         return self._delete(name, D.delete_document(self.read(name), str(key))) > 0
@@ -166,6 +178,39 @@ class VectorStore(Collections):
         embedding = F.col("embedding").cast("array<float>").alias("embedding", metadata={"dimension": width} if width else {})
         self.append(name, vectors.select((F.monotonically_increasing_id() + F.lit(first)).alias("id"), "vector_id", embedding, metadata.alias("metadata")))
 
+    def setup_embeddings(self, dimension: int, recreate: bool = False) -> list[str]:
+        """Create the collections of an embedding store; their names."""
+        for name in EMBEDDING_COLLECTIONS:
+            self.create_vectors(name, dimension, recreate)
+        return list(EMBEDDING_COLLECTIONS)
+
+    def build_index(self, name: str, n_lists: int = 1024, **fit) -> None:
+        """Build or rebuild the inverted file of a collection, over all its rows."""
+        df = self.read(name)
+        centroids = V.fit_lists(df, n_lists, **fit)
+        listed = V.assign_lists(df, centroids).repartitionByRange("list_id", F.xxhash64("id")).sortWithinPartitions("list_id")
+        last = df.agg(F.max("id")).first()[0]
+        self.write(f"{name}{_LISTS}", listed)
+        rows = [(i, [float(x) for x in c], last) for i, c in enumerate(centroids)]
+        self.write(f"{name}{_CENTROIDS}", self.spark.createDataFrame(rows, "list_id int, centroid array<double>, last_id long"))
+
+    def has_index(self, name: str) -> bool:
+        return self.exists(f"{name}{_CENTROIDS}")
+
+    def drop_index(self, name: str) -> None:
+        self.drop(f"{name}{_LISTS}")
+        self.drop(f"{name}{_CENTROIDS}")
+
+    def _index(self, name: str) -> tuple[DataFrame, list, int]:
+        """Indexed rows, centroids (as many as lists), and the last id they cover."""
+        rows = sorted(self.read(f"{name}{_CENTROIDS}").collect(), key=lambda r: r["list_id"])
+        return self.read(f"{name}{_LISTS}"), [r["centroid"] for r in rows], rows[0]["last_id"] if rows else -1
+
+    def drop(self, name: str) -> None:
+        super().drop(name)
+        if not name.endswith((_LISTS, _CENTROIDS)):
+            self.drop_index(name)
+
     def get(self, name: str, key: str) -> DataFrame:
         return V.get_vector(self.read(name), key)
 
@@ -175,17 +220,28 @@ class VectorStore(Collections):
     def all(self, name: str) -> DataFrame:
         return V.all_vectors(self.read(name))
 
-    def search(self, name: str, query: Sequence[float], top_k: int = 10) -> DataFrame:
-        return V.search_vectors(self.read(name), query, top_k)
+    def search(self, name: str, query: Sequence[float], top_k: int = 10, n_probe: int | None = None) -> DataFrame:
+        """The top_k rows nearest to a query: exact, or with n_probe and an index among the lists of the n_probe nearest centroids
+        and the rows that are newer than the index."""
+        if n_probe is None or not self.has_index(name):
+            return V.search_vectors(self.read(name), query, top_k)
+        listed, centroids, last = self._index(name)
+        near = V.nearest_lists(centroids, query, n_probe)
+        fresh = self.read(name).filter(F.col("id") > last)
+        probed = listed.filter(F.col("list_id").isin(near)).drop("list_id").unionByName(fresh)
+        return V.search_vectors(probed, query, top_k)
 
     def search_many(self, name: str, query_ids: Sequence, queries: Sequence[Sequence[float]], top_k: int = 5) -> DataFrame:
         return V.search_nested(self.read(name), query_ids, queries, top_k)
 
     def delete(self, name: str, values: Sequence, column: str = "vector_id") -> bool:
         """Whether rows with one of the values were there; they are gone."""
-        df = self.read(name)
-        kept = V.delete_vectors(df, values, column)
-        gone = df.count() - kept.count()
+        from .scratch import materialize
+
+        kept = materialize(V.delete_vectors(self.read(name), values, column), "delete")
+        gone = self.read(name).count() - kept.count()
         if gone:
             self.write(name, kept)
+            if self.has_index(name):
+                self.write(f"{name}{_LISTS}", V.delete_vectors(self.read(f"{name}{_LISTS}"), values, column))
         return gone > 0
