@@ -1,6 +1,6 @@
 """Text splitting as column expressions: lines, slices of long lines, and chunks of whole lines with overlap.
 
-All of it runs inside the JVM; a text is folded once, from left to right.
+All of it runs inside the JVM; a text is folded once, from left to right, in time that is nearly linear.
 """
 
 from __future__ import annotations
@@ -44,37 +44,77 @@ def slices(pieces: Column, max_size: int) -> Column:
     return F.flatten(F.transform(pieces, cut))
 
 
-def merge(pieces: Column, max_size: int = 1000, min_size: int = 50, overlap: int = 1) -> Column:
-    """Pack pieces from left to right into chunks joined by single spaces.
+#: Pieces that are folded into one list of borders, at least.
+FOLD_PIECES = 64
+#: A border is one number: the first piece (from 1) times this, and how many pieces.
+_BORDER = 1 << 31
 
-    A piece that would carry a chunk over max_size closes it; the next chunk starts with the last `overlap` pieces and takes
-    that piece unchecked, so a chunk may be longer than max_size. A last chunk below min_size is dropped.
-    """
-    texts = "array<string>"
-    start = F.struct(F.array().cast(texts).alias("held"), F.lit(0).alias("size"), F.array().cast(texts).alias("done"))
 
-    def step(state: Column, piece: Column) -> Column:
-        held, size, n = state["held"], state["size"], F.char_length(piece)
-        full = (size + n > max_size) & (F.size(held) > 0)
-        empty = F.array().cast(texts)
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once; an expression that stands inside a lambda is computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _borders(lengths: Column, max_size: int, min_size: int, overlap: int) -> Column:
+    """The chunks of pieces with these lengths, each as a border.
+
+    A fold copies its state at every step, so what it has found so far is kept out of the way: pieces are folded in groups of
+    about the square root of their number, and a group's borders are handed to the outer fold as one array."""
+    longs, ints = "array<bigint>", "array<int>"
+
+    def piece_step(s: Column, n: Column) -> Column:
+        full = (s["size"] + n > max_size) & (s["held"] > 0)
         if overlap > 0:
-            shared = F.when(F.size(held) >= overlap, F.slice(held, -overlap, overlap)).otherwise(empty)
+            kept = F.when(s["held"] >= overlap, overlap).otherwise(0)
+            shared = F.when(s["held"] >= overlap, F.aggregate(s["tail"], F.lit(0), lambda total, x: total + x + 1)).otherwise(0)
+            tail = F.slice(F.concat(s["tail"], F.array(n)), F.greatest(F.lit(1), F.size(s["tail"]) + 2 - overlap), overlap)
         else:
-            shared = empty
-        carried = F.when(full, shared).otherwise(held)
-        length = F.aggregate(shared, F.lit(0), lambda sum_, x: sum_ + F.char_length(x) + 1)
-        before = F.when(full, F.greatest(length - 1, F.lit(0))).otherwise(size)
+            kept, shared, tail = F.lit(0), F.lit(0), F.array().cast(ints)
+        border = (s["at"] - s["held"]).cast("bigint") * _BORDER + s["held"]
         return F.struct(
-            F.concat(carried, F.array(piece)).alias("held"),
-            (before + n + 1).alias("size"),
-            F.when(full, F.concat(state["done"], F.array(F.array_join(held, " ")))).otherwise(state["done"]).alias("done"),
+            (s["at"] + 1).alias("at"),
+            (F.when(full, kept).otherwise(s["held"]) + 1).alias("held"),
+            (F.when(full, F.greatest(shared - 1, F.lit(0))).otherwise(s["size"]) + n + 1).alias("size"),
+            tail.alias("tail"),
+            F.when(full, F.concat(s["found"], F.array(border))).otherwise(s["found"]).alias("found"),
         )
 
-    def finish(state: Column) -> Column:
-        tail = (F.size(state["held"]) > 0) & (state["size"] >= min_size)
-        return F.when(tail, F.concat(state["done"], F.array(F.array_join(state["held"], " ")))).otherwise(state["done"])
+    def group_step(s: Column, group: Column) -> Column:
+        none = F.array().cast(longs)
+        start = F.struct(s["at"].alias("at"), s["held"].alias("held"), s["size"].alias("size"), s["tail"].alias("tail"), none.alias("found"))
+        after = lambda r: F.struct(r["at"].alias("at"), r["held"].alias("held"), r["size"].alias("size"), r["tail"].alias("tail"), F.concat(s["done"], F.array(r["found"])).alias("done"))
+        return _bound(F.aggregate(group, start, piece_step), after)
+
+    def finish(s: Column) -> Column:
+        last = (s["at"] - s["held"]).cast("bigint") * _BORDER + s["held"]
+        found = F.flatten(s["done"])
+        return F.when((s["held"] > 0) & (s["size"] >= min_size), F.concat(found, F.array(last))).otherwise(found)
+
+    def fold(sizes: Column) -> Column:
+        step = F.greatest(F.lit(FOLD_PIECES), F.floor(F.sqrt(F.size(sizes))).cast("int"))
+        starts = F.when(F.size(sizes) > 0, F.sequence(F.lit(1), F.size(sizes), step)).otherwise(F.array().cast(ints))
+        groups = F.transform(starts, lambda at: F.slice(sizes, at, step))
+        zero = lambda name: F.lit(0).alias(name)
+        start = F.struct(F.lit(1).alias("at"), zero("held"), zero("size"), F.array().cast(ints).alias("tail"), F.array().cast(f"array<{longs}>").alias("done"))
+        return F.aggregate(groups, start, group_step, finish)
+
+    return _bound(lengths, fold)
+
+
+def merge(pieces: Column, max_size: int = 1000, min_size: int = 50, overlap: int = 1) -> Column:
+    """Pack pieces from left to right into chunks joined by single spaces.
+
+    A piece that would carry a chunk over max_size closes it; the next chunk starts with the last `overlap` pieces and takes
+    that piece unchecked, so a chunk may be longer than max_size. A last chunk below min_size is dropped. The fold works on
+    the pieces' lengths; texts are joined once the chunks' borders are known.
+    """
+
+    def cut(all_pieces: Column) -> Column:
+        borders = _borders(F.transform(all_pieces, F.char_length), max_size, min_size, overlap)
+        first, count = (lambda b: F.floor(b / _BORDER).cast("int")), (lambda b: F.pmod(b, F.lit(_BORDER)).cast("int"))
+        return F.transform(borders, lambda b: F.array_join(F.slice(all_pieces, first(b), count(b)), " "))
 
-    return F.aggregate(pieces, start, step, finish)
+    return F.when(pieces.isNotNull(), _bound(pieces, cut))
 
 
 def chunks(text: Column, max_size: int = 1000, min_size: int = 50, overlap: int = 1, mode: str = "line") -> Column:
