@@ -25,6 +25,8 @@ FOLD = 256
 # Caps of a thread, and the gap in microseconds up to which an unlinked message is an interjection.
 MAX_MESSAGES, MAX_SENDERS, INTERJECTION_US = 20, 5, 30_000_000
 TIME_THRESHOLD_US, ID_THRESHOLD, MIN_PARTICIPANTS = 300_000_000, 5, 2
+#: What links are inferred from; texts join in once threads are known.
+LINK_COLUMNS = ("group_id", "id", "sender_id", "ts", "reply_to", "original_reply_to")
 SAME, ABA, PROXIMITY = "same_user_consecutive", "aba", "time_proximity"
 
 
@@ -39,10 +41,8 @@ def with_neighbours(df: DataFrame, columns: list[str], cell: int = CELL) -> Data
     cells = df.withColumn("__cell", F.expr(f"(id - pmod(id, {cell}L)) div {cell}L"))
     inner = W.partitionBy("group_id", "__cell").orderBy("id")
     local = cells.withColumns({"__b2": F.lag(row, 2).over(inner), "__b1": F.lag(row, 1).over(inner), "__a1": F.lead(row, 1).over(inner), "__at": F.row_number().over(inner)})
-    # one row a cell: its first and its last two messages
-    second = F.max_by(F.when(F.col("__a1").isNotNull() & F.col("__a2").isNull(), row), F.when(F.col("__a1").isNotNull() & F.col("__a2").isNull(), F.col("id")))
-    ends = cells.withColumns({"__a1": F.lead("id", 1).over(inner), "__a2": F.lead("id", 2).over(inner)})
-    edges = ends.groupBy("group_id", "__cell").agg(F.min_by(row, "id").alias("first"), F.max_by(row, "id").alias("last"), second.alias("second"))
+    # one row a cell: its first and its last two messages; the last one knows the one before it
+    edges = local.groupBy("group_id", "__cell").agg(F.min_by(row, "id").alias("first"), F.max_by(row, "id").alias("last"), F.max_by("__b1", "id").alias("second"))
     over = W.partitionBy("group_id").orderBy("__cell")
     last = F.lag("last", 1).over(over)
     edges = edges.select("group_id", "__cell", last.alias("__p1"), F.coalesce(F.lag("second", 1).over(over), F.lag("last", 2).over(over)).alias("__p2"), F.lead("first", 1).over(over).alias("__n1"))
@@ -117,7 +117,7 @@ def tree_paths(nodes: DataFrame, levels: int = MAX_MESSAGES) -> DataFrame:
     start = nodes.select("group_id", "id", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), F.array("id")).otherwise(F.array().cast("array<bigint>")).alias("path"), F.when(F.col("root"), F.col("id")).alias("top"))
     known = materialize(start, "paths")
     reach = 1
-    while reach < levels:
+    while reach < levels and known.filter("up is not null").limit(1).count():
         above = known.select("group_id", F.col("id").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("top").alias("__top"))
         grown = known.join(above, ["group_id", "up"], "left")
         path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
@@ -255,7 +255,7 @@ def processing_stats(linked: DataFrame, members: DataFrame, chunks: DataFrame) -
 
 def process_messages(messages: DataFrame, groups: DataFrame | None = None, time_us: int = TIME_THRESHOLD_US, ids: int = ID_THRESHOLD, min_participants: int = MIN_PARTICIPANTS) -> tuple[DataFrame, DataFrame]:
     """(conversation chunks, statistics) of messages."""
-    linked = materialize(infer_links(messages, time_us, ids), "linked")
+    linked = materialize(infer_links(messages.select(*LINK_COLUMNS), time_us, ids), "linked")
     members = materialize(thread_members(with_parent(linked)), "members")
     chunks = conversation_chunks(thread_turns(messages, members), groups, min_participants)
     return chunks, processing_stats(linked, members, chunks)

@@ -45,12 +45,13 @@ def count_documents(df: DataFrame, query: Mapping[str, Any] | None = None) -> Da
     return matching(df, query).agg(F.count(F.lit(1)).alias("n"))
 
 
-def one_of_each(df: DataFrame, id_col: str = "_id") -> DataFrame:
-    """One document of each id: that with the smallest hash of all its columns, so that it doesn't depend on partitions. A
-    minimum, so that copies of one id are combined in the tasks that hold them."""
+def one_of_each(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of each key: that with the smallest hash of all its columns, so that it doesn't depend on partitions. A
+    minimum, so that copies of one key are combined in the tasks that hold them."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     plain = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`") for f in df.schema.fields]
-    return df.groupBy(F.col(f"`{id_col}`").alias("__key")).agg(F.min_by(row, F.xxhash64(*plain)).alias("__row")).select("__row.*")
+    by = [F.col(f"`{k}`").alias(f"__key{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*by).agg(F.min_by(row, F.xxhash64(*plain)).alias("__row")).select("__row.*")
 
 
 def new_documents(existing: DataFrame, incoming: DataFrame, id_col: str = "_id") -> DataFrame:

@@ -1,7 +1,8 @@
 """Embeddings through a pluggable provider, in Arrow batches.
 
-A provider is a picklable callable (texts, model, input_type) -> list of vectors. It runs on the executors, made once a
-worker. A batch that fails gives null for each of its texts and nothing else. HashingProvider works offline.
+A provider is a picklable callable (texts, model, input_type) -> list of vectors, which runs on the executors. One with
+sockets or keys can't be pickled: PerWorker takes a function that makes it, and makes it once in each worker. A batch that
+fails gives null for each of its texts and nothing else. HashingProvider works offline.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,6 +44,33 @@ class HashingProvider:
         return out
 
 
+    def count_tokens(self, texts: list[str], model: str) -> int:
+        return sum(1 for text in texts for word in text.lower().split(" ") if word)
+
+
+#: Providers made in this process, by the number of their PerWorker.
+_made: dict[str, Provider] = {}
+
+
+class PerWorker:
+    """A provider that factory() makes where it is used: once in each worker process, whatever the tasks and queries that it
+    serves. Only the factory is pickled."""
+
+    def __init__(self, factory: Callable[[], Provider]):
+        self.factory, self.number = factory, uuid.uuid4().hex
+
+    def provider(self) -> Provider:
+        if self.number not in _made:
+            _made[self.number] = self.factory()
+        return _made[self.number]
+
+    def __call__(self, texts: list[str], model: str, input_type: str) -> list:
+        return self.provider()(texts, model, input_type)
+
+    def count_tokens(self, texts: list[str], model: str) -> int:
+        return self.provider().count_tokens(texts, model)
+
+
 def _batched(texts: Iterator[str | None], provider: Provider, model: str, input_type: str, batch_size: int, pause: float) -> Iterator[list]:
     def embed(batch: list[str]) -> list:
         try:
@@ -97,6 +126,26 @@ def with_text(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
 
 
+def batch_tokens(df: DataFrame, provider: Provider, text_col: str = "text", model: str = "voyage-3-large", batch_size: int = BATCH, id_col: str = "_id") -> DataFrame:
+    """(batch, n_texts, n_tokens) of the batches that the documents with text make in the order of their ids; n_tokens is the
+    sum of the provider's counts, null if one of them fails."""
+    numbered = with_position(with_text(df, text_col), [id_col], "__i").select(F.floor(F.col("__i") / batch_size).cast("long").alias("batch"), text_col)
+
+    def count(text: str) -> int | None:
+        try:
+            return provider.count_tokens([text], model)
+        except Exception:  # as in embedding: a provider's failure is data
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["batch", "n"])
+
+    counted = numbered.mapInArrow(run, "batch long, n long")
+    total = F.when(F.count("n") == F.count(F.lit(1)), F.sum("n"))
+    return counted.groupBy("batch").agg(F.count(F.lit(1)).alias("n_texts"), total.alias("n_tokens"))
+
+
 def embed_documents(df: DataFrame, provider: Provider, text_col: str = "text", model: str = "voyage-3-large", batch_size: int = BATCH, id_col: str = "_id", drop_failed: bool = False, pause: float = 0.0) -> DataFrame:
     """Documents with text, and embedding, embedding_model, embedding_id.
 

@@ -41,7 +41,7 @@ def msg_scan_earliest(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return C.infer_links(messages(spark, sf_dir))
+    return C.infer_links(messages(spark, sf_dir).select(*C.LINK_COLUMNS))
 
 
 def _of(spark, sf_dir, kind):

@@ -15,6 +15,7 @@ def export_conversations(spark: SparkSession, source: DataFrame, group_name: str
     groups = spark.createDataFrame([(group_id, group_name)], "group_id long, group_name string")
     chunks, stats = C.process_messages(messages.to_messages(raw, group_id), groups, time_us, ids, min_participants)
     if out:
+        exports.write_envelope(exports.envelope_lines(chunks, stats, info, time_us, ids, min_participants), f"{out}/envelope")
         exports.write_messages(raw, info, out)
         exports.write_chunks(chunks, stats, out)
     return chunks, stats, info

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.documents import one_of_each
+
 FETCH_LIMIT = 10_000
 MESSAGE_SCHEMA = "id long, date string, sender_id long, text string, reply_to_msg_id long, original_reply_to long, inferred_reply_type string, group_id long"
 
@@ -31,10 +33,11 @@ def scan(df: DataFrame, start_id: int | None = None, limit: int | None = FETCH_L
     return found.orderBy(F.col("id").asc() if upwards else F.col("id").desc()).limit(limit)
 
 
-def valid(df: DataFrame, key: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Rows with a text and a sender (0 is none), one for each id."""
+def valid(df: DataFrame, key: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows with a text and a sender (0 is none), one for each id of a group (documents.one_of_each says which)."""
+    key = key or (("group_id", "id") if "group_id" in df.columns else ("id",))
     usable = df.filter(F.col("text").isNotNull() & (F.col("text") != "") & F.col("sender_id").isNotNull() & (F.col("sender_id") != 0) & F.col("id").isNotNull())
-    return usable.dropDuplicates(list(key))
+    return one_of_each(usable, *key)
 
 
 def fetch(df: DataFrame, start_id: int | None = None, limit: int | None = FETCH_LIMIT, oldest_first: bool = False) -> DataFrame:

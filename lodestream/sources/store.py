@@ -100,7 +100,7 @@ class DocumentStore(Collections):
         from .scratch import materialize
 
         there = self.exists(name)
-        fresh = materialize(D.new_documents(self.read(name), docs) if there else D.one_of_each(docs), "insert")
+        fresh = materialize(D.new_documents(self.read(name), docs) if there else D.one_of_each(docs, "_id"), "insert")
         if there:
             self.append(name, fresh)
         else:

@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -100,7 +101,7 @@ def test_cells_don_t_show(spark):
     assert plain == C.infer_links(table(spark, rows), cell=1).orderBy("id").collect() == C.infer_links(table(spark, rows), cell=3).orderBy("id").collect()
 
 
-def test_stated_conversation(spark):
+def test_stated_conversation(spark, tmp_path):
     texts = ["Hello everyone!", "This is a follow-up message.", "Hi! Nice to meet you.", "Nice to meet you too!", "Different conversation now."]
     rows = [(1, 100, 0, None), (2, 100, 60, None), (3, 200, 120, 1), (4, 100, 180, None), (5, 300, 600, None)]
     df = spark.createDataFrame([(12345678, i, s, START + timedelta(seconds=t), texts[i - 1], r, r) for i, s, t, r in rows], SCHEMA)
@@ -114,8 +115,24 @@ def test_stated_conversation(spark):
     (s,) = stats.collect()
     assert (s.total_messages_fetched, s.same_user_chained_count, s.aba_inferred_count, s.proximity_inferred_count, s.total_raw_threads_built, s.threads_filtered_out, s.final_chunks_exported) == (5, 1, 0, 1, 2, 1, 1)
     info = M.group_info(df, "G", 12345678)
-    whole = exports.envelope(chunks, stats, info, C.TIME_THRESHOLD_US, C.ID_THRESHOLD, 2).first()
-    assert whole.processing_parameters.time_threshold_proximity_minutes == 5.0 and len(whole.conversation_chunks) == 1
+    exports.write_envelope(exports.envelope_lines(chunks, stats, info, C.TIME_THRESHOLD_US, C.ID_THRESHOLD, 2), str(tmp_path / "e"))
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "e").glob("part-*"))))
+    assert whole["processing_parameters"]["time_threshold_proximity_minutes"] == 5.0 and len(whole["conversation_chunks"]) == 1
+    assert whole["conversation_chunks"][0]["content"] == c.content and whole["group_info"]["group_name"] == "G"
+    assert whole["processing_stats"]["final_chunks_exported"] == 1
+
+
+def test_empty_envelope(spark, tmp_path):
+    empty = spark.createDataFrame([], SCHEMA)
+    chunks, stats = C.process_messages(empty)
+    lines = exports.envelope_lines(chunks, stats, M.group_info(empty, "G", 1), C.TIME_THRESHOLD_US, C.ID_THRESHOLD, 2)
+    whole = json.loads("".join(r.line for r in lines.orderBy("place").collect()))
+    assert whole == {"processing_stats": {"total_messages_fetched": 0, "final_chunks_exported": 0}, "conversation_chunks": []}
+
+
+def test_ids_repeat_across_groups(spark):
+    raw = spark.createDataFrame([(5, "d", 1, "a", None, None, None, g) for g in (1, 2, 2)], M.MESSAGE_SCHEMA)
+    assert sorted((r.group_id, r.id) for r in M.fetch(raw).collect()) == [(1, 5), (2, 5)]
 
 
 @pytest.mark.parametrize(("rows", "threads"), [
