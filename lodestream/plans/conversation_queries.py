@@ -40,6 +40,13 @@ def msg_scan_earliest(spark, sf_dir):
     return M.fetch(_raw(spark, sf_dir), limit=500, oldest_first=True).select("id", "sender_id", "reply_to_msg_id")
 
 
+def msg_two_groups(spark, sf_dir):
+    """Two groups with the same ids, each message twice: one row an id and group."""
+    raw = _raw(spark, sf_dir)
+    both = raw.withColumn("group_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 2, 2)])))
+    return M.valid(both).select("group_id", "id", "sender_id")
+
+
 def _links(spark, sf_dir):
     return C.infer_links(messages(spark, sf_dir).select(*C.LINK_COLUMNS))
 
@@ -105,7 +112,7 @@ def conversation_stats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    msg_scan_since, msg_scan_latest, msg_scan_earliest, link_same_user, link_aba, link_proximity, links_all, link_stats, thread_roots, reply_children, thread_members, thread_turns, conversation_chunks, conversation_stats,
+    msg_scan_since, msg_scan_latest, msg_scan_earliest, msg_two_groups, link_same_user, link_aba, link_proximity, links_all, link_stats, thread_roots, reply_children, thread_members, thread_turns, conversation_chunks, conversation_stats,
 )}
 
 _F = "({0} + 1 + 7 * ({0} // 5))"
@@ -153,6 +160,7 @@ ORACLES = {
     "msg_scan_since": _SCAN.format("WHERE id > 100 ORDER BY id LIMIT 700"),
     "msg_scan_latest": _SCAN.format("ORDER BY id DESC LIMIT 500"),
     "msg_scan_earliest": _SCAN.format("ORDER BY id LIMIT 500"),
+    "msg_two_groups": f"WITH {_MESSAGES} SELECT g AS group_id, id, sender_id - 1 AS sender_id FROM m, (VALUES (1::BIGINT), (2)) t(g) WHERE sender_id <> 1 AND text <> ''",
     "link_same_user": f"WITH {_LINKED} SELECT id, reply AS reply_to FROM l WHERE kind = 'same_user_consecutive'",
     "link_aba": f"WITH {_LINKED} SELECT id, reply AS reply_to FROM l WHERE kind = 'aba'",
     "link_proximity": f"WITH {_LINKED} SELECT id, reply AS reply_to FROM l WHERE kind = 'time_proximity'",

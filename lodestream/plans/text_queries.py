@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.chunking import chunk_documents
-from ..operators.embedding import HashingProvider, embed_documents, with_embedding
+from ..operators.embedding import HashingProvider, PerWorker, batch_tokens, embed_documents, with_embedding
 from ..sources.scratch import materialize
 from .document_queries import table
 from .index import chunk_vectors, document_vectors
@@ -57,6 +57,26 @@ def embed_valid_docs(spark, sf_dir):
     return made.select("_id", "embedding_id", "embedding_model", *[F.round(e[i].cast("double"), 4).alias(f"e{i}") for i in range(4)])
 
 
+class _Fails(HashingProvider):
+    """A provider that fails where a text has certain words."""
+
+    def __call__(self, texts, model, input_type):
+        if any("rights reserved" in t for t in texts):
+            raise ValueError("refused")
+        return super().__call__(texts, model, input_type)
+
+
+def embed_drop_failed(spark, sf_dir):
+    """Documents whose batch, here of one text, failed are left out; their numbers are missing."""
+    provider = PerWorker(lambda: _Fails(4))
+    made = embed_documents(_docs(spark, sf_dir).withColumnRenamed("doc_id", "_id"), provider, "text", "offline", 1, drop_failed=True)
+    return made.select("_id", "embedding_id", "embedding_model", F.size("embedding").alias("width"))
+
+
+def embed_batch_tokens(spark, sf_dir):
+    return batch_tokens(_docs(spark, sf_dir).withColumnRenamed("doc_id", "_id"), PerWorker(lambda: HashingProvider(4)), "text", "offline")
+
+
 def index_document_meta(spark, sf_dir):
     made = document_vectors(with_embedding(_typed(spark, sf_dir), HashingProvider(4), "text", "offline"))
     return made.select("vector_id", "metadata.title", "metadata.type", F.size("embedding").alias("width"))
@@ -68,7 +88,7 @@ def index_chunk_meta(spark, sf_dir):
     return made.select("vector_id", "metadata.parent_id", "metadata.chunk_index", "metadata.title")
 
 
-QUERIES = {f.__name__: f for f in (text_lines, text_sentences, text_long_slices, text_merge, chunk_documents_default, chunk_documents_small, chunk_stats, embed_valid_docs, index_document_meta, index_chunk_meta)}
+QUERIES = {f.__name__: f for f in (text_lines, text_sentences, text_long_slices, text_merge, chunk_documents_default, chunk_documents_small, chunk_stats, embed_valid_docs, embed_drop_failed, embed_batch_tokens, index_document_meta, index_chunk_meta)}
 
 
 def _lines(pattern: str = r"([\\.?!])\\s+") -> str:
@@ -124,6 +144,8 @@ ORACLES = {
         SELECT d.doc_id AS _id, d.doc_id::VARCHAR || '_' || d.i AS embedding_id, 'offline' AS embedding_model,
                round((coalesce(c0 / n, 0))::FLOAT::DOUBLE, 4) AS e0, round((coalesce(c1 / n, 0))::FLOAT::DOUBLE, 4) AS e1, round((coalesce(c2 / n, 0))::FLOAT::DOUBLE, 4) AS e2, round((coalesce(c3 / n, 0))::FLOAT::DOUBLE, 4) AS e3
         FROM d LEFT JOIN n USING (doc_id)""",
+    "embed_drop_failed": "SELECT doc_id AS _id, 'emb_' || i AS embedding_id, 'offline' AS embedding_model, 4::INTEGER AS width FROM (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE text <> '') WHERE NOT contains(text, 'rights reserved')",
+    "embed_batch_tokens": "SELECT i // 10 AS batch, count(*) AS n_texts, sum(len(list_filter(string_split(lower(text), ' '), lambda w: w <> '')))::BIGINT AS n_tokens FROM (SELECT text, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE text <> '') GROUP BY 1",
     "index_document_meta": "SELECT doc_id::VARCHAR AS vector_id, coalesce(source, '') AS title, coalesce(lang, '') AS type, 4::INTEGER AS width FROM documents WHERE text <> ''",
     "index_chunk_meta": f"""WITH RECURSIVE {_folded(_slices(1000), 1000, 50, 1, True)},
         rows_ AS (SELECT doc_id, unnest(range(0, len(done))) AS i FROM chunked)

@@ -86,6 +86,17 @@ def ivf_recall(spark, sf_dir):
     return exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").agg(F.count("hit") / F.count(F.lit(1))).first()[0]
 
 
+def vec_ivf_recall(spark, sf_dir):
+    """Whether the inverted file finds nine in ten of the exact rows, and for how many queries it was asked."""
+    n = _vectors(spark, sf_dir).filter(F.col("vec_id") % EVERY == 0).count()
+    return spark.createDataFrame([(n, bool(ivf_recall(spark, sf_dir) >= 0.9))], "n_queries long, nine_in_ten boolean")
+
+
+def vec_scan_ids(spark, sf_dir):
+    """The surrogate ids that a full scan meets, one for each row with a key and a vector."""
+    return V.latest_with_ids(_vectors(spark, sf_dir), "label", "vec_id")[1]
+
+
 def search_join(spark, sf_dir):
     """Vectors stand for chunks: their texts are documents with the same id, whose parent is the id without its last digit."""
     vectors = _vectors(spark, sf_dir).select(F.col("vec_id").cast("string").alias("vector_id"), "embedding")
@@ -95,7 +106,7 @@ def search_join(spark, sf_dir):
     return found.select(F.round("score", 6).alias("score"), F.col("chunk._id").alias("chunk_id"), F.col("chunk.parent_id").alias("parent_id"), F.col("document._id").alias("document_id"), F.col("document.n_chars").alias("document_chars"))
 
 
-QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_batched, vec_cosine_pairs, vec_get_many, vec_get_one, vec_delete, vec_all_dedup, vec_stats, vec_ivf_topk, search_join)}
+QUERIES = {f.__name__: f for f in (vec_topk, vec_topk_batched, vec_cosine_pairs, vec_get_many, vec_get_one, vec_delete, vec_all_dedup, vec_stats, vec_scan_ids, vec_ivf_topk, vec_ivf_recall, search_join)}
 
 _SCORE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _ONE = f"SELECT e.vec_id, e.label, {_SCORE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -111,6 +122,8 @@ ORACLES = {
     "vec_delete": "SELECT vec_id, label FROM embeddings WHERE label NOT IN (2, 3, 5)",
     "vec_all_dedup": "SELECT label, max(vec_id) AS vec_id, round(arg_max(embedding, vec_id)[1]::DOUBLE, 6) AS first FROM embeddings GROUP BY label",
     "vec_stats": "SELECT count(*) AS entities, min(len(embedding))::INTEGER AS min_dimension, max(len(embedding))::INTEGER AS max_dimension FROM embeddings",
+    "vec_scan_ids": "SELECT vec_id FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0",
+    "vec_ivf_recall": f"SELECT count(*) AS n_queries, true AS nine_in_ten FROM embeddings WHERE vec_id % {EVERY} = 0",
     "search_join": f"""
         WITH h AS (SELECT vec_id, s FROM ({_ONE}) ORDER BY s DESC, vec_id::VARCHAR LIMIT 50)
         SELECT round(s, 6) AS score, c.doc_id::VARCHAR AS chunk_id, left(c.doc_id::VARCHAR, length(c.doc_id::VARCHAR) - 1) AS parent_id, d.doc_id::VARCHAR AS document_id, d.n_chars AS document_chars
