@@ -61,6 +61,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, column: str, **options: str) -> DataFrame:
+    """Write df to the shared folder bucketed by a column and read it back: groups and joins by that column move none of it. The
+    catalogue forgets the table at once; its files stay with the other scratch tables."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
+    df.write.bucketBy(shuffle_partitions(spark), column).options(path=path, **options).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    found._scratch = path
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialize that nothing reads any more: all that came of them is written. Others are left alone."""
     for table in tables:

@@ -30,7 +30,6 @@ drops the character's remains.
 from __future__ import annotations
 
 import struct
-import uuid
 from hashlib import sha256
 from itertools import chain
 
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, discard, materialize, plain_names, scratch_path, shuffle_partitions
+from .common import bounded_batches, bucketed, discard, materialize, plain_names, shuffle_partitions
 
 LENGTH = 200
 GRAM = 80
@@ -527,11 +526,7 @@ def _stage(df: DataFrame) -> tuple[DataFrame, int]:
     spark, count = df.sparkSession, df.count()
     longs = [T.StructField(n, T.LongType()) for n in ("__uid", "__chunk")]
     rows = df.mapInArrow(_number(1 << _chunk_bits(count)), T.StructType([*df.schema, *longs]))
-    buckets, name = shuffle_partitions(spark), f"repeats_{uuid.uuid4().hex}"
-    rows.write.bucketBy(buckets, "__chunk").option("path", scratch_path(spark, name)).saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalogue forgets it; its files stay with the other scratch tables
-    return table, max(2 * buckets, count // 16_384)
+    return bucketed(rows, "repeats", "__chunk"), max(2 * shuffle_partitions(spark), count // 16_384)
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:

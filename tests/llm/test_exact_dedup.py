@@ -70,3 +70,16 @@ def test_lookup(documents):
     some = runs.first()["__digest"]
     assert E.lookup(runs, [bytes(some)]).count() >= 1
     assert E.lookup(runs, [b"x" * 32]).count() == 0
+
+
+def test_filters_let_unique_texts_stay_where_they_are(documents):
+    """Only entries that another entry's filter answers for reach compaction, and nothing exchanges the runs themselves."""
+    runs = E.flush_runs(documents.repartition(5).selectExpr("doc_id as __key", "text as __text"), "__key", "__text", "smallest", False, 2000)
+    counts = {}
+    for r in runs.select("__digest").collect():
+        counts[bytes(r[0])] = counts.get(bytes(r[0]), 0) + 1
+    hits = E._where(runs, E.filter_hits(runs), "left_semi").collect()
+    assert sorted(bytes(r["__digest"]) for r in hits) == sorted(d for d, n in counts.items() if n > 1 for _ in range(n))
+    plan = E.drop_duplicates(documents)._jdf.queryExecution().executedPlan().toString()
+    above_runs = [line for line in plan.splitlines() if "Exchange" in line and "text" in line]
+    assert above_runs == []
