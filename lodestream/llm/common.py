@@ -10,21 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_root
+
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 #: bytes.translate table that lower-cases A-Z only; every other byte of UTF-8 stays.
 ASCII_LOWER = bytes.maketrans(UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; one of our own only where it is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: Lists of the paths given out inside scratch_made.
 _recording: list[list[str]] = []
 
@@ -81,7 +74,8 @@ def discard(*tables: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Arrow batches of few rows and bytes: Python workers then hold megabytes even where every text is very long."""
+    """Arrow batches of few rows and bytes: Python workers then hold megabytes even where every text is very long. Results are
+    lazy and read the setting when they run, so it stays with the session; every operator that runs Python sets it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -47,6 +47,8 @@ GRAM = 80
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
 #: Bytes of text in a chunk for each document it may hold: 2 MB in a small corpus, 32 MB at most.
 DOCUMENT_BYTES = 2048
+#: Suffixes whose bytes are held at a time while they are sorted.
+SORTED = 1 << 16
 #: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
 KEPT_BYTES = 8 << 20
 #: Chunks whose contexts of one anchor may meet in a task.
@@ -309,6 +311,23 @@ def _context_pass(length: int, gram: int, parts: int):
     return run
 
 
+def _direct_order(data: np.ndarray, text: bytes, direct: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first `depth` bytes: by their first 8 bytes all at once, and in slices of some SORTED of them
+    by the others, so that few keys are held however many suffixes there are."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    first = np.lib.stride_tricks.sliding_window_view(padded, 8)[direct].view(">u8")[:, 0] if len(direct) else np.empty(0, np.uint64)
+    order = np.argsort(first, kind="stable")
+    direct, first = direct[order], first[order]
+    ends = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(direct))
+    at = 0
+    while at < len(direct):
+        stop = int(ends[np.searchsorted(ends, min(at + SORTED, len(direct)))])
+        keys = [text[i : i + depth] for i in direct[at:stop].tolist()]
+        direct[at:stop] = direct[at:stop][np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
+        at = stop
+    return direct
+
+
 def suffix_order(data: np.ndarray, included: np.ndarray, depth: int) -> np.ndarray:
     """Included suffixes of data in order of their first `depth` bytes, by two-stage sorting.
 
@@ -322,9 +341,7 @@ def suffix_order(data: np.ndarray, included: np.ndarray, depth: int) -> np.ndarr
         inside = run_end < len(differs)
         ends = differs[np.minimum(run_end, len(differs) - 1)]
         smaller = inside & (data[ends] < data[np.minimum(ends + 1, n - 1)])
-    direct = np.flatnonzero(smaller & included)
-    keys = [text[i : i + depth] for i in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if len(keys) else direct
+    direct = _direct_order(data, text, np.flatnonzero(smaller & included), depth)
     by_byte = np.argsort(data[direct], kind="stable")
     direct = direct[by_byte]
     cuts = np.searchsorted(data[direct], np.arange(257))

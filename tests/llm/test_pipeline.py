@@ -2,6 +2,12 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from tokenizers import Tokenizer
+
+from lodestream.llm import bpe, quality
+from lodestream.llm.common import materialize
+
+from .conftest import ODD_ROWS
 from .test_exact_dedup import LOWER
 from .test_neardup import brute as near_brute
 from .test_packing import check as packing_check
@@ -9,11 +15,6 @@ from .test_suffixes import brute as repeats_brute
 
 
 def test_stages_against_brute_force(spark, sf, documents):
-    from lodestream.llm import quality
-    from lodestream.llm.common import materialize
-    from tokenizers import Tokenizer
-    from lodestream.llm import bpe
-
     docs, at = documents, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
@@ -44,3 +45,22 @@ def test_stages_against_brute_force(spark, sf, documents):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_odd_rows_pass_all_stages(spark, sf, odd):
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), "odd")
+        assert docs.columns == odd.columns
+    kept = docs.collect()
+    assert 0 < len(kept) <= len(ODD_ROWS) and sum(r.text in (None, "") for r in kept) <= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    packing_check(packed, [(r.doc_id, r.text) for r in kept], Tokenizer.from_file(bpe.default_vocabulary()))
+
+
+def test_empty_table_passes_all_stages(spark, sf, empty):
+    docs = empty
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf), "empty")
+        assert docs.columns == empty.columns and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect() == []

@@ -108,3 +108,14 @@ def test_chunks_are_bounded_in_bytes_and_leave_no_table(spark):
     assert sum(map(len, sizes.values())) == 300 and len({r["__uid"] for r in staged.collect()}) == 300
     X.repeat_digests(df.withColumnRenamed("__text", "text")).count()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("repeats_")]
+
+
+def test_direct_sorting_in_small_slices(monkeypatch):
+    r = random.Random(12)
+    for _ in range(40):
+        data = np.frombuffer(bytes(r.choice(b"ab\x00\xfe") for _ in range(300)) + b"abab" * 20, np.uint8)
+        some = np.array(sorted(r.sample(range(len(data)), 150)))
+        text = data.tobytes()
+        want = sorted((text[i : i + 50] for i in some.tolist()))
+        monkeypatch.setattr(X, "SORTED", r.choice([1, 7, 1000]))
+        assert [text[i : i + 50] for i in X._direct_order(data, text, some, 50).tolist()] == want
