@@ -1,4 +1,11 @@
-"""The corpus pipeline: documents to packed sequences, in five stages over all that each predecessor kept."""
+"""The corpus pipeline: documents to packed sequences, in five stages over all that each predecessor kept.
+
+Defined cases, stage by stage: a null text counts as empty; the classifier keeps or rejects it like any other text without
+votes, exact dedup keeps one such document, near dedup links it with nothing, suffix dedup leaves it null, and packing makes it
+an end id. Texts of any length are worked on whole. Null ids take part and lose to others; rows with equal ids are separate
+documents. Of equal rows exact dedup keeps one. An empty table gives empty results, and columns of any name pass through all
+stages but the last, which returns pieces.
+"""
 
 from __future__ import annotations
 
