@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import conversations as C
-from ..operators.embedding import HashingProvider
+from ..operators.embedding import HashingProvider, PerWorker
 from ..sources import exports, messages
 from ..sources.json_documents import read_json_documents, read_json_lines
 from ..sources.scratch import scratch_root
@@ -17,6 +17,7 @@ from .document_queries import table
 from .export import export_conversations
 from .index import Indexer
 
+WIDTH = 1024
 QUERY_TEXT = "all rights reserved under this license"
 
 
@@ -161,8 +162,8 @@ def export_chunks(spark, sf_dir):
 
 
 def index_search(spark, sf_dir):
-    """Index all documents with the offline provider and search a text."""
-    index = Indexer(spark, _folder(spark, "index"), HashingProvider(16), dimension=16)
+    """Index all documents with the offline provider, at the width of a small model, and search a text."""
+    index = Indexer(spark, _folder(spark, "index"), PerWorker(lambda: HashingProvider(WIDTH)), dimension=WIDTH)
     index.setup()
     docs = table(spark, sf_dir, "documents")
     index.index(docs.select(F.col("doc_id").cast("string").alias("_id"), "text", F.col("source").alias("title"), F.col("lang").alias("type")))
@@ -177,11 +178,10 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _hashed(rows: str) -> str:
-    """(key, e): the offline provider's vector of 16 single-precision numbers, for (key, text)."""
+    """(key, b, e): the non-zero numbers of the offline provider's vectors, in single precision, for (key, text)."""
     return f"""(
-        SELECT key, list_transform(range(0, 16), lambda i: (coalesce(list_sum(list_transform(b, lambda x: (x = i)::INTEGER)), 0) / n)::FLOAT::DOUBLE) AS e
-        FROM (SELECT key, b, sqrt(list_sum(list_transform(range(0, 16), lambda i: pow(coalesce(list_sum(list_transform(b, lambda x: (x = i)::INTEGER)), 0), 2)))) AS n
-              FROM (SELECT key, list_transform(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 16) AS b FROM {rows})))"""
+        SELECT key, b, (c / sqrt(sum(c * c) OVER (PARTITION BY key)))::FLOAT::DOUBLE AS e
+        FROM (SELECT key, ('0x' || substr(md5(w), 1, 8))::BIGINT % {WIDTH} AS b, count(*) AS c FROM (SELECT key, unnest(string_split(lower(text), ' ')) AS w FROM {rows}) WHERE w <> '' GROUP BY 1, 2))"""
 
 
 ORACLES = {
@@ -204,6 +204,6 @@ ORACLES = {
         k AS (SELECT doc_id, doc_id::VARCHAR || '_' || i AS key, done[i + 1] AS text FROM (SELECT doc_id, done, unnest(range(0, len(done))) AS i FROM chunked)),
         v AS (SELECT * FROM {_hashed("k")}),
         q AS (SELECT * FROM {_hashed(f"(SELECT 0 AS key, '{QUERY_TEXT}' AS text)")}),
-        s AS (SELECT v.key, list_cosine_similarity(v.e, q.e) AS s FROM v, q)
+        s AS (SELECT v.key, coalesce(sum(v.e * q.e) / sqrt(sum(v.e * v.e)) / (SELECT sqrt(sum(e * e)) FROM q), 0) AS s FROM v LEFT JOIN q USING (b) GROUP BY v.key)
         SELECT round(s, 5) AS score, k.key AS chunk_id, d.doc_id::VARCHAR AS document_id, d.source AS title FROM (SELECT * FROM s ORDER BY s DESC, key LIMIT 20) t JOIN k USING (key) JOIN documents d USING (doc_id)""",
 }

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, one of our own if everything runs in one process; executors
+    of a cluster would not find that, so there it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
