@@ -54,6 +54,8 @@ LABELLERS = (
 )
 #: Chance that a labeller flags a (good, junk) document, as PSEUDO_VOTES imagined votes of each class say; data outweigh them.
 FLAGGED, PSEUDO_VOTES = (0.002, 0.3), 2.0
+#: Share of good documents as PSEUDO_DOCUMENTS imagined ones say, for tables that are too small to tell.
+GOOD_SHARE, PSEUDO_DOCUMENTS = 0.9, 20.0
 _SYMBOLS = np.zeros(256, bool)
 _LETTERS = bytes([*range(65, 91), *range(97, 123)])
 _KINDS = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 else 57 if 48 <= b <= 57 else b for b in range(256))
@@ -218,7 +220,8 @@ def _maximise(votes: np.ndarray, weight: np.ndarray, rates: np.ndarray, shares:
         chance /= total
         fit = float(weight @ (top + np.log(total))[:, 0])
         counted = chance * weight[:, None]
-        shares = (counted.sum(0) + 1) / (weight.sum() + len(shares))
+        imagined_shares = np.array([GOOD_SHARE, *[(1 - GOOD_SHARE) / (len(shares) - 1)] * (len(shares) - 1)])
+        shares = (counted.sum(0) + PSEUDO_DOCUMENTS * imagined_shares) / (weight.sum() + PSEUDO_DOCUMENTS)
         rates = np.clip((counted.T @ flag + imagined) / (counted.T @ cast + PSEUDO_VOTES), 1e-6, 1 - 1e-6)
         if abs(fit - last) <= 1e-9 * abs(fit):
             break

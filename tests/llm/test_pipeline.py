@@ -47,13 +47,14 @@ def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
-def test_odd_rows_pass_all_stages(spark, sf, odd):
-    docs = odd
+def test_odd_rows_pass_all_stages(spark, sf, odd, documents):
+    docs = odd.unionByName(documents.withColumn("doc_id", documents.doc_id + 1000), allowMissingColumns=True)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf), "odd")
         assert docs.columns == odd.columns
     kept = docs.collect()
-    assert 0 < len(kept) <= len(ODD_ROWS) and sum(r.text in (None, "") for r in kept) <= 1
+    assert {8, 9} & {r.doc_id for r in kept} and sum(not r.text for r in kept if (r.doc_id or 0) < 1000) <= 1
+    assert len(kept) > 100 and len([r for r in kept if (r.doc_id or 0) < 1000]) < len(ODD_ROWS)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
     packing_check(packed, [(r.doc_id, r.text) for r in kept], Tokenizer.from_file(bpe.default_vocabulary()))
 
