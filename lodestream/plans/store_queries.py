@@ -10,7 +10,7 @@ from ..operators import conversations as C
 from ..operators.embedding import HashingProvider, PerWorker
 from ..sources import exports, messages
 from ..sources.json_documents import read_json_documents, read_json_lines
-from ..sources.scratch import scratch_root
+from ..sources.scratch import materialize, scratch_root
 from ..sources.store import DocumentStore, VectorStore
 from . import conversation_queries, text_queries
 from .document_queries import table
@@ -162,13 +162,15 @@ def export_chunks(spark, sf_dir):
 
 
 def index_search(spark, sf_dir):
-    """Index all documents with the offline provider, at the width of a small model, and search a text."""
+    """Index all documents with the offline provider, at the width of a small model, and search a text: of the 50 best hits those
+    that are better than the last one, as many may tie with it up to rounding."""
     index = Indexer(spark, _folder(spark, "index"), PerWorker(lambda: HashingProvider(WIDTH)), dimension=WIDTH)
     index.setup()
     docs = table(spark, sf_dir, "documents")
     index.index(docs.select(F.col("doc_id").cast("string").alias("_id"), "text", F.col("source").alias("title"), F.col("lang").alias("type")))
-    found = index.search(QUERY_TEXT, 20)
-    return found.select(F.round("score", 5).alias("score"), F.col("chunk._id").alias("chunk_id"), F.col("document._id").alias("document_id"), F.col("document.title").alias("title"))
+    found = materialize(index.search(QUERY_TEXT, 50).withColumn("score", F.round("score", 5)), "found")
+    last = found.agg(F.min("score")).scalar()
+    return found.filter(F.col("score") > last).select("score", F.col("chunk._id").alias("chunk_id"), F.col("document._id").alias("document_id"), F.col("document.title").alias("title"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -204,6 +206,7 @@ ORACLES = {
         k AS (SELECT doc_id, doc_id::VARCHAR || '_' || i AS key, done[i + 1] AS text FROM (SELECT doc_id, done, unnest(range(0, len(done))) AS i FROM chunked)),
         v AS (SELECT * FROM {_hashed("k")}),
         q AS (SELECT * FROM {_hashed(f"(SELECT 0 AS key, '{QUERY_TEXT}' AS text)")}),
-        s AS (SELECT v.key, coalesce(sum(v.e * q.e) / sqrt(sum(v.e * v.e)) / (SELECT sqrt(sum(e * e)) FROM q), 0) AS s FROM v LEFT JOIN q USING (b) GROUP BY v.key)
-        SELECT round(s, 5) AS score, k.key AS chunk_id, d.doc_id::VARCHAR AS document_id, d.source AS title FROM (SELECT * FROM s ORDER BY s DESC, key LIMIT 20) t JOIN k USING (key) JOIN documents d USING (doc_id)""",
+        s AS (SELECT v.key, coalesce(sum(v.e * q.e) / sqrt(sum(v.e * v.e)) / (SELECT sqrt(sum(e * e)) FROM q), 0) AS s FROM v LEFT JOIN q USING (b) GROUP BY v.key),
+        h AS (SELECT key, round(s, 5) AS score FROM s ORDER BY s DESC, key LIMIT 50)
+        SELECT score, k.key AS chunk_id, d.doc_id::VARCHAR AS document_id, d.source AS title FROM h JOIN k USING (key) JOIN documents d USING (doc_id) WHERE score > (SELECT min(score) FROM h)""",
 }
