@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +23,15 @@ def get_session(app: str = "lodestream", master: str | None = None, **conf: str)
     for k, v in {**SETTINGS, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+@contextmanager
+def connected(app: str = "lodestream", master: str | None = None, **conf: str) -> Iterator[SparkSession]:
+    """get_session for the length of a with statement. A session that was there before stays; one of our own is stopped."""
+    mine = SparkSession.getActiveSession() is None
+    spark = get_session(app, master, **conf)
+    try:
+        yield spark
+    finally:
+        if mine:
+            spark.stop()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,25 @@ def fetch(df: DataFrame, start_id: int | None = None, limit: int | None = FETCH_
     return valid(scan(df, start_id, limit, oldest_first))
 
 
+@dataclass(frozen=True)
+class ChatHistory:
+    """A source of raw messages: where they lie, and how each fetch looks at them."""
+
+    spark: SparkSession
+    path: str
+    format: str = "json"
+    group_id: int | None = None
+    limit: int | None = FETCH_LIMIT
+
+    def read(self) -> DataFrame:
+        """All raw messages, or those of the group."""
+        every = read_messages(self.spark, self.path, self.format)
+        return every if self.group_id is None else every.filter(F.col("group_id") == self.group_id)
+
+    def fetch(self, start_id: int | None = None, oldest_first: bool = False) -> DataFrame:
+        return fetch(self.read(), start_id, self.limit, oldest_first)
+
+
 def to_messages(df: DataFrame, group_id: int | None = None) -> DataFrame:
     """The columns that conversations are built from. Dates are ISO-8601, read as UTC where they have no zone; one that can't
     be read gives a null time, which links to nothing."""

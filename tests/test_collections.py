@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,3 +254,95 @@ def test_lists_of_a_table_agree_with_lists_of_a_query(spark):
         want = [r.vec_id for r in V.search_lists(indexed, centroids, rows[q][1], 7, 4, key="vec_id").collect()]
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
     assert {r.query_id for r in got} == {0, 150, 300, 450}
+
+
+def test_unequal_vectors_raise_wherever_they_meet(spark):
+    mixed = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0, 4.0, 5.0])], "vec_id long, embedding array<float>").coalesce(1)
+    query = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    for search in (
+        lambda: V.search_batch(mixed, ["q"], [[1.0, 0.0, 0.0, 0.0]], 2, "vec_id").collect(),
+        lambda: V.search_table(mixed, query, 2, "vec_id", "vec_id").collect(),
+        lambda: V.assign_lists(mixed, np.eye(4)).collect(),
+    ):
+        with pytest.raises(Exception, match="unequal length"):
+            search()
+
+
+def test_ties_stay_bounded():
+    best = V._Best(["q", "r"], V._unit(np.ones((2, 3))), 10)
+    for block in range(5):
+        best.add([f"k{(block * 4096 + i) * 7919 % 20480:05d}" for i in range(4096)], np.ones((4096, 3)))
+        assert best.scores.shape[1] == 10
+    assert sorted(best.keys[0]) == sorted(best.keys[1]) == [f"k{i:05d}" for i in range(10)]
+    mixed = V._Best(["q"], np.array([[1.0, 0.0]]), 3)
+    mixed.add(["b", "a", None, "c"], np.array([[1.0, 1.0], [1.0, 1.0], [1.0, 1.0], [1.0, 0.0]]))
+    mixed.add(["d"], np.array([[0.0, 1.0]]))
+    assert set(mixed.keys[0]) == {"c", None, "a"}
+
+
+def test_blocks_are_bounded_in_bytes(spark, monkeypatch):
+    """The result doesn't depend on how vectors and queries are cut."""
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    some = df.filter("vec_id % 50 = 0")
+    rows = lambda found: sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+    want = rows(V.search_table(df, some, 5, "vec_id", "vec_id"))
+    column = pa.array([[1.0] * 4096] * 5000, pa.list_(pa.float32()))
+    assert max(n for _, n in V._parts(column, V.VECTOR_BLOCK)) * 8 * 4096 <= V.BLOCK_BYTES
+    monkeypatch.setattr(V, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    assert rows(V.search_table(df, some, 5, "vec_id", "vec_id")) == want
+
+
+def test_index_of_a_collection(spark, tmp_path):
+    store = VectorStore(spark, str(tmp_path))
+    store.create_vectors("v", 64)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("cast(vec_id as string) as vector_id", "embedding", "vec_id")
+    store.insert("v", rows.filter("vec_id < 400").drop("vec_id"))
+    store.build_index("v", 16)
+    assert store.has_index("v") and store.read("v__lists").count() == store.read("v").count()
+    query = rows.filter("vec_id = 3").first()["embedding"]
+    probed = store.search("v", query, 10, n_probe=4)
+    assert "list_id" not in probed.columns and probed.first()["vector_id"] == "3"
+    exact = [r.vector_id for r in store.search("v", query, 10).collect()]
+    assert [r.vector_id for r in store.search("v", query, 10, n_probe=16).collect()] == exact
+    assert len(set(exact) & {r.vector_id for r in probed.collect()}) >= 5
+    store.insert("v", spark.createDataFrame([("new", query)], "vector_id string, embedding array<float>"))
+    assert {r.vector_id for r in store.search("v", query, 2, n_probe=1).collect()} == {"3", "new"}
+    store.delete("v", ["3"])
+    assert "3" not in {r.vector_id for r in store.search("v", query, 5, n_probe=16).collect()}
+    store.create_vectors("v", 64, recreate=True)
+    assert not store.has_index("v") and store.search("v", query, 5, n_probe=3).count() == 0
+
+
+def test_one_document_of_each_id(spark):
+    rows = [("a", f"text {i}") for i in range(20)] + [("b", "other")]
+    found = {tuple(D.one_of_each(spark.createDataFrame(rows, "_id string, text string").repartition(n), "_id").orderBy("_id").collect()) for n in (1, 3, 7)}
+    assert len(found) == 1 and len(next(iter(found))) == 2
+
+
+class Unpicklable:
+    def __init__(self):
+        self.calls, self.lock = 0, __import__("threading").Lock()
+
+    def __call__(self, texts, model, input_type):
+        self.calls += 1
+        return [[float(self.calls), float(len(t))] for t in texts]
+
+    def count_tokens(self, texts, model):
+        if "bad" in texts:
+            raise RuntimeError("no service")
+        return sum(len(t.split()) for t in texts)
+
+
+def test_a_provider_is_made_once_a_worker(spark):
+    df = spark.createDataFrame([(str(i), f"t {i}") for i in range(6)], "_id string, text string").coalesce(1)
+    made = E.with_embedding(df, E.PerWorker(Unpicklable), batch_size=2).collect()
+    assert [r.embedding[0] for r in made] == [1.0, 1.0, 2.0, 2.0, 3.0, 3.0]
+    with pytest.raises(Exception):
+        E.with_embedding(df, Unpicklable()).collect()
+
+
+def test_tokens_of_batches(spark):
+    df = spark.createDataFrame([("a", "one two"), ("b", ""), ("c", "three"), ("d", "bad"), ("e", "four five six")], "_id string, text string").repartition(3)
+    got = sorted(tuple(r) for r in E.batch_tokens(df, E.PerWorker(Unpicklable), batch_size=2).collect())
+    assert got == [(0, 2, 3), (1, 2, None)]

@@ -174,3 +174,21 @@ def test_fetch(spark):
     assert sorted(r.id for r in M.fetch(raw, limit=3).collect()) == [9]
     got = {r.id: r.ts for r in M.to_messages(M.fetch(raw)).select("id", F.col("ts").cast("string").alias("ts")).collect()}
     assert got == {5: "2023-01-01 10:00:00", 6: None, 9: None}
+
+
+def test_chat_history(spark, tmp_path):
+    rows = [(i, "2023-01-01T12:00:00Z", 1, f"m{i}", None, None, None, 1 + i % 2) for i in range(1, 9)]
+    spark.createDataFrame(rows, M.MESSAGE_SCHEMA).write.json(str(tmp_path / "h"))
+    history = M.ChatHistory(spark, str(tmp_path / "h"), group_id=1, limit=3)
+    assert sorted(r.id for r in history.fetch().collect()) == [4, 6, 8]
+    assert sorted(r.id for r in history.fetch(start_id=2).collect()) == [4, 6, 8]
+    assert sorted(r.id for r in history.fetch(oldest_first=True).collect()) == [2, 4, 6]
+    assert M.ChatHistory(spark, str(tmp_path / "h"), limit=None).fetch().count() == 8
+
+
+def test_connected_leaves_a_running_session_alone(spark):
+    from lodestream.session import connected
+
+    with connected() as same:
+        assert same.range(3).count() == 3
+    assert spark.range(2).count() == 2
