@@ -201,10 +201,10 @@ _FLAG = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("part", pa.int6
 
 
 def _count_repeats(kind: int, hot_chunks: int = HOT_CHUNKS):
-    """For one part of the hash range: which keys of each chunk occur twice or more in all, and which in many chunks."""
+    """For each part of the hash range, whose rows arrive one after the other: which keys of each chunk occur twice or more in
+    all, and which in many chunks."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def count(rows: list[dict]) -> pa.RecordBatch:
         keys = [np.frombuffer(r["keys"], "<u4") for r in rows]
         twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(k)).astype(bool) for r, k in zip(rows, keys, strict=True)]
         order = np.sort(np.concatenate([*keys, *(k[t] for k, t in zip(keys, twice, strict=True))]))
@@ -213,11 +213,28 @@ def _count_repeats(kind: int, hot_chunks: int = HOT_CHUNKS):
         hot = _distinct(present[hot_chunks:][present[hot_chunks:] == present[:-hot_chunks]]) if len(rows) > hot_chunks else present[:0]
         mark = lambda k: np.packbits(found).tobytes() if len(hot) and (found := _among(k, hot)).any() else None
         out = [{"chunk": r["chunk"], "kind": kind, "part": r["part"], "bits": np.packbits(_among(k, repeated)).tobytes(), "hot": mark(k)} for r, k in zip(rows, keys, strict=True)]
-        return pa.Table.from_pylist(out, schema=_FLAG)
+        return pa.RecordBatch.from_pylist(out, schema=_FLAG)
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            for row in b.to_pylist():
+                if held and row["part"] != held[0]["part"]:
+                    yield count(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield count(held)
 
     return run
 
 
+def _by_part(blobs: DataFrame) -> DataFrame:
+    """Rows dealt so that every task has the same number of parts; hashing a few parts would give some tasks several times as many."""
+    n = shuffle_partitions(blobs.sparkSession)
+    return blobs.repartitionById(n, F.pmod(F.col("part"), F.lit(n)).cast("int")).sortWithinPartitions("part")
+
+
 def _apply_flags(keys: np.ndarray, flags: dict[int, bytes], parts: int) -> np.ndarray:
     """The repeated ones among a chunk's sorted distinct keys."""
     cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
@@ -560,8 +577,8 @@ def _spans(staged: DataFrame, parts: int, length: int, gram: int, hot_chunks: in
     docs = staged.select("__chunk", "__uid", "__text")
     cogroup = lambda flags, fn, schema: docs.groupBy("__chunk").cogroup(flags.groupBy("chunk")).applyInArrow(fn, schema)
     blob, flag = "part long, chunk long, keys binary, twice binary", "chunk long, kind int, part long, bits binary, hot binary"
-    anchors = materialize(docs.groupBy("__chunk").applyInArrow(_anchor_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(0, hot_chunks), flag), "sa-anchors")
-    windows = materialize(cogroup(anchors, _window_pass(length, gram, parts), blob).groupBy("part").applyInArrow(_count_repeats(1, hot_chunks), flag), "sa-windows")
+    anchors = materialize(_by_part(docs.groupBy("__chunk").applyInArrow(_anchor_pass(length, gram, parts), blob)).mapInArrow(_count_repeats(0, hot_chunks), flag), "sa-anchors")
+    windows = materialize(_by_part(cogroup(anchors, _window_pass(length, gram, parts), blob)).mapInArrow(_count_repeats(1, hot_chunks), flag), "sa-windows")
     contexts = cogroup(anchors.union(windows), _context_pass(length, gram, parts), "anchor long, context binary, chunk long, refs binary, hot boolean")
     some_hot = bool(anchors.filter("hot is not null").limit(1).count())
     if some_hot:
