@@ -45,8 +45,8 @@ LENGTH = 200
 GRAM = 80
 #: Documents in a small corpus' chunk, as a power of two; window starts hashed at a time; bytes suffix-sorted at a time.
 CHUNK_BITS, SEGMENT, SORT_BYTES = 10, 1 << 20, 1 << 19
-#: Bytes of text in a chunk for each document it may hold: 2 MB in a small corpus, 32 MB at most.
-DOCUMENT_BYTES = 2048
+#: Bytes of text in a chunk for each document it may hold: 4 MB in a small corpus, 64 MB at most.
+DOCUMENT_BYTES = 4096
 #: Suffixes whose bytes are held at a time while they are sorted.
 SORTED = 1 << 16
 #: Bytes of a chunk's text up to which its windows' hashes are kept between steps; beyond it they are made again.
