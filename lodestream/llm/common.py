@@ -80,6 +80,22 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") ->
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: What operators remember in a Python worker, by name: how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by an operator where its work in a Python worker begins, with a function of its module (which is pickled by
+    reference, so that it finds the worker's own memory): workers outlive stages, and what other operators
+    remembered in one is forgotten, so that a worker holds one operator's memory at a time."""
+    for other, clear in list(_memories.items()):
+        if other != name:
+            clear()
+            del _memories[other]
+    if forget:
+        _memories[name] = forget
+
+
 def rows_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, bucketed, discard, materialize, plain_names
+from .common import ASCII_LOWER, bucketed, discard, forget_others, materialize, plain_names
 
 #: Bytes of text that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 16 << 20
@@ -83,6 +83,7 @@ def _flusher(id_col: str, text_col: str, keep: str, members: bool, limit: int, d
     def run(batches):
         from pyspark import TaskContext
 
+        forget_others("exact_dedup")
         uid, held, size = TaskContext.get().partitionId() << 33, [], 0
         block = TaskContext.get().partitionId() << 33
         for batch in batches:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, bounded_batches, discard, materialize, plain_names
+from .common import ASCII_LOWER, bounded_batches, discard, forget_others, materialize, plain_names
 from .components import connected_components
 
 WORDS = 5
@@ -72,6 +72,10 @@ class _WordHash(dict):
 _word_hash = _WordHash()
 
 
+def _forget() -> None:
+    _word_hash.clear()
+
+
 def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
     tokens = text.translate(ASCII_LOWER).split()
@@ -145,6 +149,7 @@ def _signer(words: int, bands: int, rows: int):
     def run(batches):
         from pyspark import TaskContext
 
+        forget_others("neardup", _forget)
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
             sets = [shingle_set(x or b"", words) for x in b.column("text").cast(pa.binary()).to_pylist()]
@@ -163,6 +168,7 @@ def _signer(words: int, bands: int, rows: int):
 
 def _sets_of(words: int):
     def run(batches):
+        forget_others("neardup", _forget)
         for b in batches:
             sets = [shingle_set(x or b"", words).tobytes() for x in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "set"])

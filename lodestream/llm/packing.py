@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import bounded_batches, dense_rank_slots, materialize
+from .common import bounded_batches, dense_rank_slots, forget_others, materialize
 
 CAPACITY = 1024
 END_ID = 2
@@ -46,6 +46,10 @@ def default_ranks() -> str:
 _loaded: dict = {}
 
 
+def _forget() -> None:
+    _loaded.clear()
+
+
 def has_long_space(text: str) -> bool:
     return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACE.finditer(text))
 
@@ -77,6 +81,7 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, ra
     def run(batches):
         from pyspark import TaskContext
 
+        forget_others("packing", _forget)
         encode, uid = token_encoder(path), TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]

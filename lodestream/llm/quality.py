@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialize, plain_names
+from .common import bounded_batches, discard, forget_others, materialize, plain_names
 
 #: Documents the scorer is fitted on, at most.
 TRAIN_ROWS = 6_000
@@ -106,7 +106,12 @@ class _Tokens(dict):
     ROOM = 300_000
 
     def __init__(self):
-        self.words, self.shapes, self.info = (np.empty(self.ROOM, np.int64) for _ in range(3))
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all tokens; room for them is made with the next one."""
+        self.clear()
+        self.words = self.shapes = self.info = np.empty(0, np.int64)
         self.of_shape: dict[str, int] = {}
 
     def __missing__(self, token: str) -> int:
@@ -130,15 +135,20 @@ class _Tokens(dict):
         return at
 
     def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self) + len(tokens) > self.ROOM:
-            self.clear()
-            if len(tokens) > self.ROOM:  # one very long text: room for all its tokens
-                self.ROOM = 2 * len(tokens)
-                self.__init__()
+        if len(self) + len(tokens) > len(self.words):
+            self.reset()
+            room = max(self.ROOM, 2 * len(tokens))  # a very long text has room for all its tokens
+            self.words, self.shapes, self.info = (np.empty(room, np.int64) for _ in range(3))
         return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
 
 
 _tokens = _Tokens()
+
+
+def _forget() -> None:
+    _tokens.reset()
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,6 +302,7 @@ def fit(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def vote(batches):
+        forget_others("quality", _forget)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([vote_pattern(analyse(t or "", False)[0]) for t in b.column(1).to_pylist()], pa.int32())], names=["doc_id", "pattern"])
 
@@ -301,6 +312,7 @@ def fit(df: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", tex
     posteriors, rates = estimate(counted) if counted else ({}, None)
 
     def features(batches):
+        forget_others("quality", _forget)
         for b in batches:
             made = []
             for t in b.column(1).to_pylist():
@@ -329,6 +341,7 @@ def score_documents(df: DataFrame, threshold: float = 0.5, train_rows: int = TRA
     bounded_batches(df.sparkSession)
 
     def run(batches):
+        forget_others("quality", _forget)
         for b in batches:
             made = [analyse(t or "", True) for t in b.column(1).to_pylist()]
             scores = [score(model.weights, k, v) for _, k, v in made]
@@ -344,6 +357,7 @@ def drop_rejected(df: DataFrame, threshold: float = 0.5, train_rows: int = TRAIN
     weights = fit(rows, train_rows, name(id_col), at).weights
 
     def run(batches):
+        forget_others("quality", _forget)
         for b in batches:
             yield b.filter(pa.array([score(weights, *analyse(t or "", True)[1:]) >= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 

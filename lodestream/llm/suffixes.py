@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, bucketed, discard, materialize, plain_names, shuffle_partitions
+from .common import bounded_batches, bucketed, discard, forget_others, materialize, plain_names, shuffle_partitions
 
 LENGTH = 200
 GRAM = 80
@@ -59,6 +59,10 @@ _TABLE = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astyp
 _powers: list[np.ndarray] = []
 
 
+def _forget() -> None:
+    _powers.clear()
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         tables = []
@@ -539,6 +543,7 @@ def _number(documents: int):
     def run(batches):
         from pyspark import TaskContext
 
+        forget_others("suffixes", _forget)
         task = TaskContext.get().partitionId()
         uid, chunk, rows, size = task << 40, task << 32, 0, 0
         for b in batches:
