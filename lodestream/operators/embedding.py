@@ -8,11 +8,12 @@ fails gives null for each of its texts and nothing else. HashingProvider works o
 from __future__ import annotations
 
 import hashlib
-import math
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,30 @@ from .numbering import with_position
 
 Provider = Callable[[list[str], str, str], list]
 BATCH = 10
+#: Rows whose vectors a task holds before it hands them on; words whose numbers a process remembers, and their length at most.
+EMBEDDED_ROWS, KNOWN_WORDS, KNOWN_LENGTH = 256, 1 << 17, 64
+
+
+class _Numbers(dict):
+    """The number of a word, which its digest gives. Short words are remembered: KNOWN_WORDS of them, and those of the memory that
+    was full before, so that words which are met again stay."""
+
+    def __init__(self):
+        self.older: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        number = self.older.get(word)
+        if number is None:
+            number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        if len(word) <= KNOWN_LENGTH:
+            if len(self) >= KNOWN_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = number
+        return number
+
+
+_numbers = _Numbers()
 
 
 class HashingProvider:
@@ -31,19 +56,17 @@ class HashingProvider:
     def __init__(self, dimension: int | None = None):
         self.dimension = dimension
 
-    def __call__(self, texts: list[str], model: str, input_type: str) -> list[list[float]]:
+    def __call__(self, texts: list[str], model: str, input_type: str) -> list[np.ndarray]:
         width = self.dimension or embedding_dimension(model)
         out = []
         for text in texts:
-            counts = [0.0] * width
-            for word in text.lower().split(" "):
-                if word:
-                    counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % width] += 1.0
-            size = math.sqrt(sum(c * c for c in counts))
-            out.append([c / size for c in counts] if size else counts)
+            words = [w for w in text.lower().split(" ") if w]
+            numbers = np.fromiter(map(_numbers.__getitem__, words), np.int64, len(words))
+            counts = np.bincount(numbers % width, minlength=width).astype(np.float64)
+            size = np.sqrt((counts * counts).sum())
+            out.append(counts / size if size else counts)
         return out
 
-
     def count_tokens(self, texts: list[str], model: str) -> int:
         return sum(1 for text in texts for word in text.lower().split(" ") if word)
 
@@ -104,9 +127,18 @@ def generate_embedding(text: str, provider: Provider, model: str = "voyage-3-lar
     return generate_embeddings([text], provider, model, input_type)[0] if text else None
 
 
+def _vectors(found: list) -> pa.Array:
+    """Vectors, some of them null, in single precision. Those of a provider that makes arrays are copied as they are."""
+    if not all(v is None or isinstance(v, np.ndarray) for v in found) or all(v is None for v in found):
+        return pa.array(found, pa.list_(pa.float32()))
+    ends = np.cumsum([0, *(0 if v is None else len(v) for v in found)], dtype=np.int32)
+    values = np.concatenate([np.asarray(v, np.float32) for v in found if v is not None])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.float32()), mask=pa.array([v is None for v in found]))
+
+
 def with_embedding(df: DataFrame, provider: Provider, text_col: str = "text", model: str = "voyage-3-large", input_type: str = "document", batch_size: int = BATCH, pause: float = 0.0, out: str = "embedding") -> DataFrame:
     """df with the vector of each row's text; null where the text is empty or its batch failed. No shuffle: batches are cut
-    inside the tasks, and a task holds one Arrow batch at a time."""
+    inside the tasks, and a task holds one Arrow batch of texts and the vectors of EMBEDDED_ROWS of them at a time."""
     schema = T.StructType([f for f in df.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.FloatType()))])
     names = [f.name for f in schema.fields[:-1]]
 
@@ -114,9 +146,11 @@ def with_embedding(df: DataFrame, provider: Provider, text_col: str = "text", mo
         for b in batches:
             texts = b.column(text_col).to_pylist()
             asked = [t for t in texts if t]
-            made = iter([v for batch in _batched(iter(asked), provider, model, input_type, batch_size, pause) for v in batch])
-            vectors = pa.array([next(made) if t else None for t in texts], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), vectors], names=[*names, out])
+            made = chain.from_iterable(_batched(iter(asked), provider, model, input_type, batch_size, pause))
+            for at in range(0, len(texts), EMBEDDED_ROWS):
+                part = b.slice(at, EMBEDDED_ROWS)
+                vectors = _vectors([next(made) if t else None for t in texts[at : at + EMBEDDED_ROWS]])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), vectors], names=[*names, out])
 
     return df.mapInArrow(run, schema)
 

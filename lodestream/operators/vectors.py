@@ -1,7 +1,7 @@
 """Vector collections: exact and approximate cosine top-k, lookups, deletes, the latest row of each key.
 
 A collection has id (LONG), vector_id (STRING), embedding (ARRAY<FLOAT>), metadata. Top-k never shuffles the collection
-row by row: one query is a column expression under TakeOrderedAndProject; a list of queries is a matrix in the tasks; a table
+row by row: one query is a product in the tasks, which keep what can be among the best, under TakeOrderedAndProject; a list of queries is a matrix in the tasks; a table
 of queries meets the vectors in blocks. At most k rows a query and task travel, ties included: they go by key inside the tasks
 as they do in the end. What a task or the driver holds is bounded in bytes, whatever the width of the vectors.
 
@@ -21,21 +21,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.vectors import cosine_similarity, vector_literal
 from ..sources.scratch import materialize
 
-#: Queries scored together, and vectors of an Arrow batch scored together.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Queries scored together, and vectors of an Arrow batch scored together, with them or with one query.
+QUERY_BLOCK, VECTOR_BLOCK, SCORED_BLOCK = 1024, 4096, 1024
 #: Bytes of a block of vectors or queries, of the blocks of queries a task holds before it hands their best rows on, of packed
 #: queries that are broadcast, and of the vectors that an index is fitted on.
 BLOCK_BYTES, HELD_BYTES, BROADCAST_BYTES, SAMPLE_BYTES = 16 << 20, 128 << 20, 64 << 20, 256 << 20
 
 
+def _scored(df: DataFrame, query: Sequence[float], top_k: int, vector: str) -> DataFrame:
+    """df with its score, without rows that can't be among the top_k: of each part of an Arrow batch those as good as its top_k-th.
+
+    A row's score depends on its numbers alone, not on the rows beside it, so that equal vectors tie."""
+    wanted = np.array([float(v) for v in query], np.float64)
+    length = float(np.sqrt((wanted * wanted).sum()))
+    schema = T.StructType([f for f in df.schema.fields if f.name != "score"] + [T.StructField("score", T.DoubleType())])
+    names = [f.name for f in schema.fields[:-1]]
+
+    def run(batches):
+        for b in batches:
+            for start, n in _parts(b.column(vector), SCORED_BLOCK):
+                part = b.slice(start, n)
+                column = part.column(vector)
+                at, matrix = _matrix(column)
+                scores, unknown = np.zeros(n), np.zeros(n, bool)
+                if len(at) and len(wanted):
+                    if matrix.shape[1] != len(wanted):
+                        raise ValueError("vectors of unequal length")
+                    size = np.sqrt((matrix * matrix).sum(1)) * length
+                    scores[at] = np.divide((matrix * wanted).sum(1), size, out=np.zeros(len(at)), where=size != 0)
+                    numbers = column.flatten()
+                    if numbers.null_count:  # a vector that lacks a number has no score
+                        unknown[at] = pc.is_null(numbers).to_numpy(zero_copy_only=False).reshape(len(at), -1).any(1)
+                rank = np.where(unknown, -np.inf, np.where(np.isnan(scores), np.inf, scores))
+                kept = np.flatnonzero(rank >= np.partition(rank, n - top_k)[n - top_k]) if 0 < top_k < n else np.arange(n if top_k else 0)
+                best = part.take(pa.array(kept, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(best.column(c) for c in names), pa.array(scores[kept], pa.float64(), mask=unknown[kept])], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def search_vectors(df: DataFrame, query: Sequence[float], top_k: int = 10, key: str = "vector_id", vector: str = "embedding") -> DataFrame:
     """The top_k rows nearest to one query vector, with their score, best first; ties by key."""
-    size = float(np.sqrt(sum(float(v) * float(v) for v in query)))
-    score = cosine_similarity(F.col(vector).cast("array<double>"), vector_literal(query), F.lit(size))
-    return df.withColumn("score", score).orderBy(F.desc("score"), key).limit(top_k)
+    return _scored(df, query, top_k, vector).orderBy(F.desc("score"), key).limit(top_k)
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -47,16 +47,15 @@ class Indexer:
         return True
 
     def index(self, docs: DataFrame, chunk_size: int = 1000) -> DataFrame:
-        """Index documents (_id, text, title, type) and return the ids that are new. One pass each for documents and chunks;
-        every written table is made from another written one, so a lost executor repeats one step."""
+        """Index documents (_id, text, title, type) and return the ids that are new. One pass each for documents and chunks,
+        whose vectors are written once, where they stay; every written table is made from another written one, so a lost executor
+        repeats one step."""
         texts = docs.select("_id", "text", "title", "type")
         new = self.documents.insert("documents", texts)  # what was stored, and nothing else, is embedded and chunked
-        embedded = materialize(with_embedding(new, self.provider, "text", self.model), "document-vectors")
-        self.vectors.insert("documents", document_vectors(embedded))
+        self.vectors.insert("documents", document_vectors(with_embedding(new, self.provider, "text", self.model)))
         chunks = materialize(chunk_documents(new, "text", max_size=chunk_size), "chunks")
         self.documents.insert("chunks", chunks)
-        made = materialize(with_embedding(chunks, self.provider, "text", self.model), "chunk-vectors")
-        self.vectors.insert("chunks", chunk_vectors(made))
+        self.vectors.insert("chunks", chunk_vectors(with_embedding(chunks, self.provider, "text", self.model)))
         return new.select("_id")
 
     def index_file(self, path: str, text_field: str = "content", chunk_size: int = 1000, id_field: str | None = None) -> DataFrame:

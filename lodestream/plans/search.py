@@ -21,7 +21,7 @@ def search_chunks(vectors: DataFrame, chunks: DataFrame, documents: DataFrame, q
     Hits and the chunks found are at most top_k rows each. They are written, so that the vectors are scanned once, and, up to
     BROADCAST_HITS of them, broadcast to the scans of chunks and documents: no table is shuffled."""
     small = F.broadcast if top_k <= BROADCAST_HITS else (lambda df: df)
-    hits = search_vectors(vectors, query, top_k).select(F.col("vector_id").alias("__hit"), "score")
+    hits = search_vectors(vectors.select("vector_id", "embedding"), query, top_k).select(F.col("vector_id").alias("__hit"), "score")
     hits = small(materialize(hits, "hits"))
     found = materialize(chunks.join(hits, chunks["_id"] == F.col("__hit")).select("score", "__hit", F.struct(*[chunks[c] for c in chunks.columns]).alias("chunk")), "found")
     wanted = small(found.select(F.col("chunk.parent_id").alias("__p")).distinct())

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.cli import main
+from lodestream.functions.vectors import cosine_similarity
 from lodestream.operators import documents as D
 from lodestream.operators import embedding as E
 from lodestream.operators import vectors as V
@@ -13,6 +15,7 @@ from lodestream.operators.filters import matching
 from lodestream.operators.numbering import with_position
 from lodestream.plans.index import Indexer
 from lodestream.sources.json_documents import read_json_documents, read_json_lines
+from lodestream.sources.scratch import scratch_root
 from lodestream.sources.store import DocumentStore, VectorStore
 
 
@@ -346,3 +349,47 @@ def test_tokens_of_batches(spark):
     df = spark.createDataFrame([("a", "one two"), ("b", ""), ("c", "three"), ("d", "bad"), ("e", "four five six")], "_id string, text string").repartition(3)
     got = sorted(tuple(r) for r in E.batch_tokens(df, E.PerWorker(Unpicklable), batch_size=2).collect())
     assert got == [(0, 2, 3), (1, 2, None)]
+
+
+def test_one_query_is_scored_as_by_the_expression(spark):
+    """Zero, empty and null vectors, ties and numbers that are missing, in parts of any size; no expression walks the numbers."""
+    rows = [(i, [float((i * k) % 7 - 3) for k in range(1, 9)]) for i in range(400)] + [(400, None), (401, []), (402, [0.0] * 8), (403, [None] + [1.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    query = [1.0, -2.0, 0.5, 0.0, 3.0, 1.0, -1.0, 2.0]
+    score = cosine_similarity(F.col("embedding").cast("array<double>"), F.array(*[F.lit(x) for x in query]))
+    want = {r.vec_id: r.s for r in df.select("vec_id", score.alias("s")).collect()}
+    order = sorted(want, key=lambda k: (want[k] is None, -round(want[k] or 0, 9), k))
+    for k in (1, 25, 403, 404, 1000):
+        found = V.search_vectors(df, query, k, "vec_id")
+        got = found.collect()
+        assert found.columns == ["vec_id", "embedding", "score"]
+        assert [r.vec_id for r in got] == order[:k] and all(r.score == pytest.approx(want[r.vec_id], abs=1e-12) for r in got if r.score is not None)
+    assert {r.vec_id for r in got if r.score is None} == {403}
+    plan = V.search_vectors(df, query, 5, "vec_id")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
+
+
+def test_offline_vectors_are_made_once(spark, tmp_path, monkeypatch):
+    """A word is digested once, what is remembered is bounded, vectors are arrays, and the index writes them where they stay."""
+    made, md5 = [], E.hashlib.md5
+    monkeypatch.setattr(E.hashlib, "md5", lambda x: made.append(x) or md5(x))
+    monkeypatch.setattr(E, "_numbers", E._Numbers())
+    some = E.HashingProvider(16)(["one two One", "two  one", ""], "m", "document")
+    assert made == [b"one", b"two"] and all(isinstance(v, np.ndarray) for v in some)
+    assert sorted(some[0])[-2:] == pytest.approx([1 / 5**0.5, 2 / 5**0.5]) and not some[2].any()
+    monkeypatch.setattr(E, "KNOWN_WORDS", 2)
+    few = E._Numbers()
+    for word in "a b c a d a e b".split():
+        assert few[word] == int(md5(word.encode()).hexdigest()[:8], 16) and len(few) <= 2 >= len(few.older)
+    texts = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("t "), F.col("id").cast("string"))).alias("text"))
+    got = E.with_embedding(texts, E.HashingProvider(16)).collect()
+    alone = E.HashingProvider(16)
+    for r in got[::100]:
+        assert r.embedding is None if r.text is None else r.embedding == pytest.approx(alone([r.text], "m", "document")[0].tolist(), abs=1e-6)
+    assert sum(r.embedding is None for r in got) == 429
+    before = set(os.listdir(scratch_root(spark).removeprefix("file://")))
+    index = Indexer(spark, str(tmp_path), E.HashingProvider(16), dimension=16)
+    index.setup()
+    index.index(spark.createDataFrame([("1", "a b\n" * 40, "t", "x")], "_id string, text string, title string, type string"))
+    written = set(os.listdir(scratch_root(spark).removeprefix("file://"))) - before
+    assert not [x for x in written if "vectors" in x] and index.vectors.read("chunks").count() == 1
