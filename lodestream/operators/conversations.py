@@ -101,8 +101,11 @@ def with_parent(linked: DataFrame) -> DataFrame:
     """
     light = linked.select("group_id", "id", "sender_id", "ts", "reply", "inferred_reply_type", "next_sender", "next_reply", "next_type", "next_gap_us", "has_next")
     there = light.select("group_id", F.col("id").alias("parent"))
-    stated = light.withColumn("__r", F.when(F.col("reply") != 0, F.col("reply")))
-    found = stated.join(there, (stated.group_id == there.group_id) & (stated["__r"] == there.parent), "left").select(light["*"], "parent")
+    # messages that reply to nothing stay out of the join: they have one key in common, and would meet in one task
+    replies = F.coalesce(F.col("reply") != 0, F.lit(False))
+    stated = light.filter(replies)
+    led = stated.join(there, (stated.group_id == there.group_id) & (stated["reply"] == there.parent), "left").select(stated["*"], "parent")
+    found = led.unionByName(light.filter(~replies).withColumn("parent", F.lit(None).cast(dict(light.dtypes)["id"])))
     parents = found.filter(F.col("parent").isNotNull()).select("group_id", F.col("parent").alias("id")).distinct().withColumn("__has", F.lit(True))
     whole = found.join(parents, ["group_id", "id"], "left")
     interjection = F.col("has_next") & (F.col("next_sender") != F.col("sender_id")) & F.col("next_reply").isNull() & F.col("__has").isNull() & (F.col("next_gap_us") <= INTERJECTION_US)
@@ -119,11 +122,11 @@ def tree_paths(nodes: DataFrame, levels: int = MAX_MESSAGES) -> DataFrame:
     reach = 1
     while reach < levels and known.filter("up is not null").limit(1).count():
         above = known.select("group_id", F.col("id").alias("up"), F.col("up").alias("__up"), F.col("path").alias("__path"), F.col("top").alias("__top"))
-        grown = known.join(above, ["group_id", "up"], "left")
-        path = F.when(F.col("up").isNull(), F.col("path")).otherwise(F.concat("__path", "path"))
-        known = grown.select("group_id", "id", F.col("__up").alias("up"), path.alias("path"), F.coalesce("top", "__top").alias("top"))
+        # rows that know all their ancestors stay out of the join: without a key of their own they would meet in one task
+        grown = known.filter("up is not null").join(above, ["group_id", "up"], "left")
+        deeper = grown.select("group_id", "id", F.col("__up").alias("up"), F.concat("__path", "path").alias("path"), F.coalesce("top", "__top").alias("top"))
         # a path of too many ids can't be part of a thread: dropping it keeps cycles and deep trees small
-        known = materialize(known.filter(F.size("path") < levels), "paths")
+        known = materialize(deeper.filter(F.size("path") < levels).unionByName(known.filter("up is null")), "paths")
         reach *= 2
     roots = known.filter(F.col("up").isNull() & F.col("top").isNotNull()).select("group_id", "id", F.col("top").alias("root_id"), "path")
     return nodes.join(roots, ["group_id", "id"])

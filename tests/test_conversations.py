@@ -192,3 +192,33 @@ def test_connected_leaves_a_running_session_alone(spark):
     with connected() as same:
         assert same.range(3).count() == 3
     assert spark.range(2).count() == 2
+
+
+def test_rows_without_a_key_do_not_meet_in_one_task(spark, monkeypatch):
+    """Messages that reply to nothing, and those whose ancestors are all known, stay out of the joins by link and by ancestor."""
+    rows = [(i * 10, i % 7, i * 600, None if i % 20 else i * 10 - 10 if i else None) for i in range(2000)]
+    messages = table(spark, rows).repartition(8)
+    frames = []
+    keep = C.materialize
+
+    def seen(df, name):
+        frames.append((name, [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]))
+        return keep(df, name)
+
+    monkeypatch.setattr(C, "materialize", seen)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        nodes = C.with_parent(C.infer_links(messages.select(*C.LINK_COLUMNS)))
+        plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+        assert "Union" in plan
+        got = C.thread_members(nodes).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    paths = [counts for name, counts in frames if name == "paths"]
+    assert len(paths) > 1 and all(max(counts) < 0.4 * sum(counts) for counts in paths[1:])
+    threads = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.position):
+        threads[r.root_id].append(r.id)
+    assert dict(threads) == {root: taken for root, taken in restated(rows)[0].items() if taken}
