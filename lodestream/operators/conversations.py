@@ -256,9 +256,11 @@ def processing_stats(linked: DataFrame, members: DataFrame, chunks: DataFrame) -
     return joined.withColumn("threads_filtered_out", F.col("total_raw_threads_built") - F.col("final_chunks_exported"))
 
 
-def process_messages(messages: DataFrame, groups: DataFrame | None = None, time_us: int = TIME_THRESHOLD_US, ids: int = ID_THRESHOLD, min_participants: int = MIN_PARTICIPANTS) -> tuple[DataFrame, DataFrame]:
-    """(conversation chunks, statistics) of messages."""
+def process_messages(messages: DataFrame, groups: DataFrame | None = None, time_us: int = TIME_THRESHOLD_US, ids: int = ID_THRESHOLD, min_participants: int = MIN_PARTICIPANTS, written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(conversation chunks, statistics) of messages. written: the chunks are a written table, for callers that use both."""
     linked = materialize(infer_links(messages.select(*LINK_COLUMNS), time_us, ids), "linked")
     members = materialize(thread_members(with_parent(linked)), "members")
     chunks = conversation_chunks(thread_turns(messages, members), groups, min_participants)
+    if written:
+        chunks = materialize(chunks, "conversations")
     return chunks, processing_stats(linked, members, chunks)

@@ -139,7 +139,7 @@ def export_envelope(spark, sf_dir):
     path = _folder(spark, "envelope")
     groups = spark.createDataFrame([(1, "events")], "group_id long, group_name string")
     source = conversation_queries.messages(spark, sf_dir)
-    chunks, stats = C.process_messages(source, groups)
+    chunks, stats = C.process_messages(source, groups, written=True)
     exports.write_envelope(exports.envelope_lines(chunks, stats, messages.group_info(source, "events", 1), C.TIME_THRESHOLD_US, C.ID_THRESHOLD, C.MIN_PARTICIPANTS), path)
     lines = spark.read.text(path).filter(F.col("value").contains('"root_message_id"'))
     one = F.from_json(F.ltrim(F.col("value"), F.lit(",")), "id string, participant_count int, content string")
@@ -156,7 +156,7 @@ def export_empty(spark, sf_dir):
 def export_chunks(spark, sf_dir):
     """Conversation chunks and statistics written as JSON, and the chunks read back."""
     path = _folder(spark, "export")
-    chunks, stats = C.process_messages(conversation_queries.messages(spark, sf_dir))
+    chunks, stats = C.process_messages(conversation_queries.messages(spark, sf_dir), written=True)
     exports.write_chunks(chunks, stats, path)
     return spark.read.schema("id string, participant_count int, message_count_original int, content string").json(f"{path}/conversation_chunks")
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import conversations as C
+from lodestream.plans.export import export_conversations
 from lodestream.sources import exports, messages as M
 
 SCHEMA = "group_id long, id long, sender_id long, ts timestamp_ntz, text string, reply_to long, original_reply_to long"
@@ -222,3 +223,16 @@ def test_rows_without_a_key_do_not_meet_in_one_task(spark, monkeypatch):
     for r in sorted(got, key=lambda r: r.position):
         threads[r.root_id].append(r.id)
     assert dict(threads) == {root: taken for root, taken in restated(rows)[0].items() if taken}
+
+
+def test_export_makes_messages_and_chunks_once(spark, tmp_path):
+    """Everything that an export writes comes from one table of fetched messages and one of chunks."""
+    rows = [(i, i % 3, i * 10, i - 1 if i > 1 else None) for i in range(1, 13)]
+    source = table(spark, rows).select("id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), (F.col("sender_id") + 1).alias("sender_id"), "text", F.col("reply_to").alias("reply_to_msg_id"), F.col("original_reply_to"), F.lit(None).cast("string").alias("inferred_reply_type"), "group_id")
+    chunks, stats, info = export_conversations(spark, source, "g", 9, str(tmp_path / "out"), limit=None)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (chunks, info)]
+    assert not any("Join" in p or "min_by" in p for p in plans)
+    got = spark.read.json(str(tmp_path / "out" / "conversation_chunks"))
+    assert {r.id for r in got.collect()} == {r.id for r in chunks.collect()} == {"tg_9_1"}
+    assert stats.first().final_chunks_exported == 1 and info.first().total_messages_fetched == 12
+    assert spark.read.json(str(tmp_path / "out" / "messages")).count() == 12
