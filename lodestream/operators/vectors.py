@@ -27,7 +27,9 @@ from ..sources.scratch import materialize
 QUERY_BLOCK, VECTOR_BLOCK, SCORED_BLOCK = 1024, 4096, 1024
 #: Bytes of a block of vectors or queries, of the blocks of queries a task holds before it hands their best rows on, of packed
 #: queries that are broadcast, and of the vectors that an index is fitted on.
-BLOCK_BYTES, HELD_BYTES, BROADCAST_BYTES, SAMPLE_BYTES = 16 << 20, 128 << 20, 64 << 20, 256 << 20
+BLOCK_BYTES, HELD_BYTES, BROADCAST_BYTES, SAMPLE_BYTES = 16 << 20, 64 << 20, 64 << 20, 256 << 20
+#: Scores of a block of queries that a task makes at a time.
+SCORES = 1 << 19
 
 
 def _scored(df: DataFrame, query: Sequence[float], top_k: int, vector: str) -> DataFrame:
@@ -101,11 +103,33 @@ class _Best:
         self.keys: np.ndarray = np.empty((len(ids), 0), object)
 
     def add(self, keys: list, matrix: np.ndarray) -> None:
+        """Some rows at a time, so that their scores with all queries of the block are at most SCORES, or top_k a query."""
         if not len(keys):
             return
         if matrix.shape[1] != self.block.shape[1]:
             raise ValueError("vectors and queries of unequal length")
-        scores = np.concatenate([self.scores, self.block @ _unit(matrix).T], 1)
+        rows = max(1, self.top_k, SCORES // max(1, len(self.ids)))
+        for at in range(0, len(keys), rows):
+            self._add(keys[at : at + rows], matrix[at : at + rows])
+
+    def _rescored(self, unit: np.ndarray) -> np.ndarray:
+        """Scores with all queries. A matrix product rounds equal vectors differently by their places, so that they wouldn't tie:
+        what can be among the best is multiplied once more, pair by pair; the rest is worse than anything."""
+        rough, k = self.block @ unit.T, self.top_k
+        known = ~np.isnan(rough)
+        every = np.concatenate([self.scores, rough if known.all() else np.where(known, rough, -3.0)], 1)
+        least = np.partition(every, every.shape[1] - k, axis=1)[:, [every.shape[1] - k]] if 0 < k < every.shape[1] else -4.0
+        near = rough >= least - 1e-9
+        rough[known & ~near] = -3.0
+        queries, rows = np.nonzero(near)
+        step = max(1, (BLOCK_BYTES >> 2) // (8 * unit.shape[1]))
+        for at in range(0, len(rows), step):
+            q, r = queries[at : at + step], rows[at : at + step]
+            rough[q, r] = (self.block[q] * unit[r]).sum(1)
+        return rough
+
+    def _add(self, keys: list, matrix: np.ndarray) -> None:
+        scores = np.concatenate([self.scores, self._rescored(_unit(matrix))], 1)
         every = np.concatenate([self.keys, np.broadcast_to(np.array(keys, object), (len(self.ids), len(keys)))], 1)
         k = self.top_k
         if scores.shape[1] > k:
@@ -185,6 +209,8 @@ def search_table(df: DataFrame, queries: DataFrame, top_k: int = 10, query_key:
 
     The packed queries are written once. They are broadcast if that table's bytes are few, which is looked up; otherwise every
     part of the vectors reads them block by block."""
+    # a row of the join has two blocks: an Arrow batch, which Python holds whole, has 16 MB of them, or one row
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
     packed = materialize(_blocks(queries, query_key, vector, QUERY_BLOCK, "q"), "queries")
     held = packed.agg(F.sum(F.octet_length("q_data"))).first()[0] or 0
     pairs = _blocks(df, key, vector, VECTOR_BLOCK, "v").join(F.broadcast(packed) if held <= BROADCAST_BYTES else packed, how="cross")

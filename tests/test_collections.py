@@ -1,5 +1,6 @@
 import json
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -393,3 +394,30 @@ def test_offline_vectors_are_made_once(spark, tmp_path, monkeypatch):
     index.index(spark.createDataFrame([("1", "a b\n" * 40, "t", "x")], "_id string, text string, title string, type string"))
     written = set(os.listdir(scratch_root(spark).removeprefix("file://"))) - before
     assert not [x for x in written if "vectors" in x] and index.vectors.read("chunks").count() == 1
+
+
+def test_scores_of_a_block_are_bounded(spark):
+    """What a task holds beside the blocks doesn't grow with them, and an Arrow batch has few of them."""
+    r = np.random.default_rng(1)
+    queries, vectors = V._unit(r.normal(size=(1024, 16))), r.normal(size=(4096, 16))
+    best = V._Best(list(range(1024)), queries, 10)
+    tracemalloc.start()
+    best.add(list(range(4096)), vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    want = np.argsort(-(queries @ V._unit(vectors).T), axis=1)[:, :10]
+    assert all(set(a) == set(b) for a, b in zip(best.keys.tolist(), want.tolist()))
+    df = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    V.search_table(df, df, 1, "vec_id", "vec_id")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("16m", "16777216", "16777216b")
+
+
+def test_equal_vectors_tie_wherever_they_stand():
+    r = np.random.default_rng(3)
+    queries, one = V._unit(r.normal(size=(61, 64))), r.normal(size=64)
+    for n in (37, 501, 4099):
+        best = V._Best(list(range(61)), queries, 10)
+        keys = r.permutation(n).tolist()
+        best.add(keys, np.tile(one, (n, 1)))
+        assert all(sorted(k) == list(range(10)) for k in best.keys.tolist()) and (best.scores == best.scores[:, :1]).all()
